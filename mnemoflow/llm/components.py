@@ -36,9 +36,10 @@ def forest(edges: np.ndarray, n: int) -> np.ndarray:
 
 
 def _solve(batches):
-    t = pa.Table.from_batches(list(batches))
-    if not t.num_rows:
+    batches = list(batches)
+    if not sum(b.num_rows for b in batches):
         return
+    t = pa.Table.from_batches(batches)
     edges = np.stack([t.column(0).to_numpy(), t.column(1).to_numpy()])
     used, at = np.unique(edges, return_inverse=True)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(used[labels(at.reshape(edges.shape), len(used))])], names=["node", "root"])
