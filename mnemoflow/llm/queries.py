@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, hnsw, sharding, simhash, warc
+from . import common, decontaminate, hnsw, quality, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -86,3 +86,22 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return hnsw.nearest(hnsw.build_index(vectors), vectors.filter("vec_id % 20 = 0"), 20)
+
+
+def remainder(n: int):
+    """crc32 of the doc_id as text, modulo n; a null doc_id gives that of the empty string."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = common.materialize(quality.statistics_table(table(spark, sf_dir, "documents")), "quality-stats")
+    model = quality.train(stats, table(spark, sf_dir, "labels").filter(remainder(4) != 2))
+    return quality.score(stats, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
