@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, hnsw, quality, sharding, simhash, toxicity, warc
+from . import common, decontaminate, hnsw, packing, quality, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,3 +105,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = common.materialize(quality.statistics_table(table(spark, sf_dir, "documents")), "quality-stats")
     model = quality.train(stats, table(spark, sf_dir, "labels").filter(remainder(4) != 2))
     return quality.score(stats, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
