@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, hnsw, language_model, packing, quality, sharding, simhash, toxicity, warc
+from . import common, decontaminate, hnsw, language_model, packing, quality, sharding, simhash, substring_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -122,3 +122,23 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = language_model.score(table(spark, sf_dir, "documents"), remainder(10) != 0)
     return scored.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op8_suffix_array"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(CAST(length(x) // 2 - 49 AS BIGINT))) AS p FROM d)),
+m AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS f FROM s),
+h AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM m WHERE f < doc_id),
+r AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM h),
+a AS (SELECT doc_id, min(p) AS b, max(p) + 50 AS e FROM r GROUP BY doc_id, run),
+o AS (SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS last FROM a),
+k AS (SELECT o.doc_id, CAST(sum(e - b) AS BIGINT) AS n_removed, count(*) AS n_spans, max(e) AS e, string_agg(substr(x, 2 * last + 1, 2 * (b - last)), '' ORDER BY b) AS kept FROM o JOIN d USING (doc_id) GROUP BY o.doc_id)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE kept || substr(x, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
