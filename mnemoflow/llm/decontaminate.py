@@ -110,9 +110,9 @@ def _pass(grams, text_at: int, first: bool):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_bytes: int = 16 << 20, keep_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_bytes: int = 16 << 20, carry: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, hits (runs of word positions inside a benchmark window), items (ids as
-    strings, sorted); with ``keep_text`` the text too.
+    strings, sorted), and the columns named in ``carry`` as c0, c1, ....
 
     A null or empty text has no words and no hits; nor has any document if the benchmark is empty. An item of fewer
     than ``n`` words is one window. Hits of an item with a null id count, but it isn't listed. Repeated rows, items and
@@ -121,7 +121,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("words"))
     blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // block_bytes))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry or [])])
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) + ", " + _FIELDS
     for k in range(blocks):
         part = bench.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
@@ -129,7 +129,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(grams), 1, k == 0), kind)
         if k < blocks - 1:
             out = common.materialize(out, "decontaminate")
-    return out if keep_text else out.drop("text")
+    return out.drop("text")
 
 
 _WORD = re.compile(rb"[^ ]+")
@@ -147,19 +147,21 @@ def remove_spans(raw: bytes | None, hits: list[dict]) -> bytes | None:
     return b"".join([*kept, raw[pos:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
-    """(doc_id, text) after removal of the hit documents, or (``remove="spans"``) of the hit spans only."""
-    found = find(docs, benchmark, keep_text=True, **options)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
+    """The columns of ``docs`` without the hit documents, or (``remove="spans"``) all rows without the hit spans of their texts."""
+    names = docs.columns
+    found = find(docs, benchmark, text_col=text_col, carry=names, **options)
     if remove == "documents":
-        return found.filter(F.size("hits") == 0).select("doc_id", "text")
+        return found.filter(F.size("hits") == 0).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    at = names.index(text_col)
 
     def run(batches):
         for b in batches:
-            raw = [remove_spans(t, h) for t, h in zip(common.utf8(b.column(1)), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else x.decode() for x in raw], pa.string())], names=["doc_id", "text"])
+            raw = [remove_spans(t, h) for t, h in zip(common.utf8(b.column(at)), b.column(len(names)).to_pylist())]
+            cols = [b.column(i) if i != at else pa.array([None if x is None else x.decode() for x in raw], pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "text", "hits").mapInArrow(run, f"doc_id {kind}, text string")
+    return found.select(*[f"c{i}" for i in range(len(names))], "hits").mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

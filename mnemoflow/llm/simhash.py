@@ -240,3 +240,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = fps.count()
     out = common.join_unique(fps, nodes, "fp", groups.filter(F.col("cnt") * 256 > rows))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id", "group_size")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near duplicates keeps the one with the smallest id; of rows
+    that repeat that id in the group, one stays. A group with null ids only keeps one of its rows with a null id."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    ids = common.materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "simhash-kept")
+
+    def having(which: DataFrame) -> DataFrame:
+        return docs.join(which.select(F.col("doc_id").alias("_kept")), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+
+    again = ids.filter("rows > 1")
+    if again.isEmpty():
+        return having(ids)
+    return having(ids.filter("rows = 1")).unionByName(having(again).dropDuplicates([id_col]))

@@ -410,14 +410,14 @@ def _apply(segments: int, length: int, columns: list[str], id_col: str, text_col
             if mode == "report":
                 shas.append(hashlib.sha256(rest).hexdigest())
             else:
-                kept.append(rest)
+                kept.append(rest if mode == "bytes" else rest.decode("utf-8", "ignore"))
         t = block.table
         new = [pa.array([len(x) for x in block.raw], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
         names = ["n_bytes", "n_removed", "n_spans"]
         if mode == "report":
             cols, own_names = [t.column(id_col).combine_chunks(), *new, pa.array(shas)], ["doc_id", *names, "kept_sha256"]
         else:
-            cols = [pa.array(kept, pa.binary()) if c == text_col else t.column(c).combine_chunks() for c in columns]
+            cols = [pa.array(kept, pa.binary() if mode == "bytes" else pa.string()) if c == text_col else t.column(c).combine_chunks() for c in columns]
             cols, own_names = [*cols, *new], [*columns, *names]
         whole = pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=own_names)
         for at in range(0, whole.num_rows, 1000):
@@ -431,8 +431,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are their UTF-8 bytes, a null text is empty, strings never cross documents and are judged on the input. Returns
     one row per row: with mode ``report`` doc_id, n_bytes, n_removed, n_spans (maximal runs), kept_sha256; with mode
-    ``text`` the columns of ``docs``, the text as its remaining bytes (binary, as a cut may split a character), n_bytes,
-    n_removed and n_spans. Rows of one id do not affect each other, repeated or not; a null id comes after all others.
+    ``bytes`` the columns of ``docs``, the text as its remaining bytes (binary, as a cut may split a character), n_bytes,
+    n_removed and n_spans; with mode ``text`` the same, but the text as a string without the bytes of split characters. Rows of one id do not affect each other, repeated or not; a null id comes after all others.
     An empty table gives no rows.
     """
     if length < 2 * GRAM or length > 4096:
@@ -487,5 +487,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if mode == "report":
         kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     else:
-        kind = ", ".join(f"`{n}` {'binary' if n == text_col else t}" for n, t in fields) + ", n_bytes long, n_removed long, n_spans long"
+        own = "binary" if mode == "bytes" else "string"
+        kind = ", ".join(f"`{n}` {own if n == text_col else t}" for n, t in fields) + ", n_bytes long, n_removed long, n_spans long"
     return each_block([start, shared, back], _apply(segments, length, [n for n, _ in fields], id_col, text_col, mode), kind)

@@ -60,6 +60,6 @@ def test_edges_and_mixed_passages(spark, block):
     df = spark.createDataFrame([(i, t, "q", 1) for i, t in rows], "doc_id long, text string, block string, n_bytes int")
     assert result(remove_repeats(df, block_bytes=block, segment_bytes=500)) == brute(rows)
     plain = df.select("doc_id", "text")
-    kept = remove_repeats(plain, mode="text", block_bytes=block).collect()
+    kept = remove_repeats(plain, mode="bytes", block_bytes=block).collect()
     assert sorted(((r.doc_id, len(bytes(r.text))) for r in kept), key=repr) == sorted(((r[0], r[1] - r[2]) for r in brute(rows)), key=repr)
     assert remove_repeats(plain.limit(0)).collect() == []
