@@ -99,7 +99,7 @@ wb0 AS (SELECT query_id, window_start, e_rank, max(coalesce(base, 0)) AS best FR
 wb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(w_score, 9) DESC, e_rank, window_start) AS w_rank FROM (SELECT *, 0.4 * greatest(coalesce(sim, 0), 0) + 0.6 * best AS w_score FROM wb0 LEFT JOIN ws USING (query_id, window_start))) WHERE w_rank <= 8)"""
 # Profiles of the registered questions, as read off them by hand.
 PROFILE = """pr AS (SELECT * FROM (VALUES (1, ['thha and erer'], ['thha and erer'], 0, 'Time', 0.4), (2, ['tion'], ['tion'], NULL, 'Person', 0.6), (3, ['onre and thea'], ['onre and thea'], NULL, 'List', 0.6),
-(4, ['rethen', 'ble'], ['rethen', 'ble'], NULL, 'Number', 0.6), (5, ['thin'], ['thin'], -1, 'Place', 0.4), (6, ['nobodyknown'], ['nobodyknown'], NULL, 'Boolean', 0.4)) v(query_id, subjects, phrases, boundary, answer_type, w_graph))"""
+(4, ['rethen', 'ble'], ['rethen', 'ble'], NULL, 'Number', 0.6), (5, ['thin'], ['thin'], -1, 'Place', 0.4), (6, ['is nobodyknown'], ['is nobodyknown'], NULL, 'Boolean', 0.4)) v(query_id, subjects, phrases, boundary, answer_type, w_graph))"""
 HIER = f"""{WINDOW_BEAM}, {PROFILE}, {EDGES},
 sp AS (SELECT session_id, row_number() OVER (ORDER BY min(idx)) - 1 AS pos, count(*) OVER () AS n FROM turns GROUP BY 1),
 cn AS (SELECT idx, list(canon) AS canons FROM edges GROUP BY 1),
@@ -123,12 +123,14 @@ TRANS = f"""{ADJ},
 cnt AS (SELECT t.idx, coalesce(ne, 0) AS ne, coalesce(na, 0) AS na FROM turns t LEFT JOIN (SELECT idx, count(*) AS ne FROM edges GROUP BY 1) USING (idx) LEFT JOIN (SELECT idx, count(*) AS na FROM adj GROUP BY 1) USING (idx)),
 trans AS (SELECT 'e' || canon AS src, 't' || idx AS dst, w_entity AS p FROM edges UNION ALL SELECT 't' || idx, 'e' || canon, 0.8 * w_turn FROM edges
   UNION ALL SELECT 't' || idx, 't' || other, CASE WHEN ne > 0 THEN 0.2 ELSE 1.0 END / na FROM adj JOIN cnt USING (idx) UNION ALL SELECT 't' || idx, 't' || idx, 1.0 FROM cnt WHERE ne = 0 AND na = 0)"""
-RANK = f"""{ACT}, {TRANS},
-r0 AS (SELECT query_id, 'e' || canon AS node, 'e' AS side, a AS v FROM a2 WHERE a > 0 UNION ALL SELECT query_id, 't' || idx, 't', sim FROM sims WHERE sim > 0),
-r1 AS (SELECT query_id, node, v / sum(v) OVER (PARTITION BY query_id, side) / (SELECT count(DISTINCT side) FROM r0 x WHERE x.query_id = r0.query_id) AS r FROM r0),
+# What comes before the recursion is nested, as WITH RECURSIVE reads its unions differently.
+_START = f"""WITH {TURNS}, {QS}, {SIMS}, {ACT},
+s0 AS (SELECT query_id, 'e' || canon AS node, 'e' AS side, a AS v FROM a2 WHERE a > 0 UNION ALL SELECT query_id, 't' || idx, 't', sim FROM sims WHERE sim > 0)
+SELECT query_id, node, v / sum(v) OVER (PARTITION BY query_id, side) / (SELECT count(DISTINCT side) FROM s0 x WHERE x.query_id = s0.query_id) AS r FROM s0"""
+RANK = f"""r1 AS MATERIALIZED (SELECT * FROM ({_START})), tr AS MATERIALIZED (SELECT * FROM (WITH {TURNS}, {EDGES}, {TRANS} SELECT src, dst, p FROM trans)),
 pi AS (SELECT 0 AS step, query_id, node, r AS m FROM r1
   UNION ALL SELECT step, query_id, node, sum(m) FROM (
-    SELECT pi.step + 1 AS step, pi.query_id, trans.dst AS node, 0.6 * m * p AS m FROM pi JOIN trans ON trans.src = pi.node WHERE pi.step < 30
+    SELECT pi.step + 1 AS step, pi.query_id, tr.dst AS node, 0.6 * m * p AS m FROM pi JOIN tr ON tr.src = pi.node WHERE pi.step < 30
     UNION ALL SELECT s.step + 1, r1.query_id, r1.node, 0.4 * r FROM r1, (SELECT DISTINCT step FROM pi WHERE step < 30) s) GROUP BY ALL),
 rk AS (SELECT query_id, CAST(substr(node, 2) AS BIGINT) AS idx, m AS mass FROM pi WHERE step = 30 AND node LIKE 't%')"""
 _EMB = "v AS (SELECT vec_id AS idx, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), f AS (SELECT label AS query_id, arg_min(vec, idx) AS qvec FROM v GROUP BY 1), s AS (SELECT query_id, idx, list_inner_product(vec, qvec) AS sim FROM v, f)"
@@ -179,9 +181,9 @@ SELECT doc_id, kind, array_to_string(list_transform(list_filter(regexp_split_to_
     "query_profiles": f"""WITH {QS}, {PROFILE}, l AS (SELECT *, lower(text) AS w FROM q),
 d AS (SELECT query_id, {content("text")} AS kw, list_filter(['yesterday', 'last week', 'last month', 'last year', 'recently', 'earlier'], lambda m: contains(w, m)) AS mk, contains(w, 'latest') AS late,
   regexp_matches(w, '\\b(how many times|how often|every time|all the|list all|which all|both|each time)\\b') AS agg, regexp_extract(w, '\\b(first|second|last)\\s+(?:conversation|session)\\b', 1) AS b,
-  CASE WHEN w LIKE 'who%' THEN 'Person' WHEN w LIKE 'when%' THEN 'Time' WHEN w LIKE 'where%' THEN 'Place' WHEN w LIKE '%how many%' THEN 'Number' WHEN w LIKE '%what are%' THEN 'List' WHEN w LIKE 'is %' THEN 'Boolean' ELSE 'Open' END AS at FROM l),
-r AS (SELECT *, CASE WHEN (b <> '' OR len(mk) > 0 OR at = 'Time') AND NOT agg THEN 'Local' ELSE 'Relational' END AS route FROM d)
-SELECT r.query_id, array_to_string(subjects, '|') AS subjects, array_to_string(phrases, '|') AS phrases, array_to_string(kw, '|') AS keywords, array_to_string(mk, '|') AS mentions, at AS answer_type,
+  CASE WHEN w LIKE 'who%' THEN 'Person' WHEN w LIKE 'when%' THEN 'Time' WHEN w LIKE 'where%' THEN 'Place' WHEN w LIKE '%how many%' THEN 'Number' WHEN w LIKE '%what are%' THEN 'List' WHEN w LIKE 'is %' THEN 'Boolean' ELSE 'Open' END AS kind FROM l),
+r AS (SELECT *, CASE WHEN (b <> '' OR len(mk) > 0 OR kind = 'Time') AND NOT agg THEN 'Local' ELSE 'Relational' END AS route FROM d)
+SELECT r.query_id, array_to_string(subjects, '|') AS subjects, array_to_string(phrases, '|') AS phrases, array_to_string(kw, '|') AS keywords, array_to_string(mk, '|') AS mentions, kind AS answer_type,
   CAST(CASE b WHEN 'first' THEN 0 WHEN 'last' THEN -1 END AS INTEGER) AS boundary, agg AS aggregation, CASE WHEN late OR len(mk) > 0 THEN 'Latest' END AS prefer, route, CASE route WHEN 'Local' THEN 0.4 ELSE 0.6 END::DOUBLE AS w_graph, CASE route WHEN 'Local' THEN 0.6 ELSE 0.4 END::DOUBLE AS w_hier
 FROM r JOIN pr USING (query_id)""",
     "date_ranges": f"""WITH d AS (SELECT unnest({_list(DATES)}) AS mention),
@@ -197,7 +199,7 @@ SELECT mention, CAST(epoch(coalesce(day, mon, yr)) AS BIGINT) AS lo, CAST(epoch(
     "window_beam": f"WITH {TURNS}, {QS}, {BASE}, {WINDOW_BEAM} SELECT query_id, window_start, w_rank, round(w_score, 6) AS w_score FROM wb",
     "hier_scores": f"WITH {TURNS}, {QS}, {BASE}, {HIER} SELECT query_id, idx, round(score, 6) AS score FROM hier WHERE score > 0",
     "activation_propagation": f"WITH {TURNS}, {QS}, {SIMS}, {ACT} SELECT query_id, canon, round(a, 6) AS a FROM a2",
-    "personalized_pagerank": f"WITH RECURSIVE {TURNS}, {QS}, {SIMS}, {RANK} SELECT query_id, idx, round(mass, 6) AS mass FROM rk WHERE mass > 1e-6",
+    "personalized_pagerank": f"WITH RECURSIVE {RANK} SELECT query_id, idx, round(mass, 6) AS mass FROM rk WHERE mass > 1e-6",
     "minmax_fusion": f"""WITH {TURNS}, {QS}, {SIMS}, {BM25}, {PROFILE},
 v AS (SELECT query_id, idx, 'g' AS view, score FROM bm UNION ALL SELECT query_id, idx, 'h', sim FROM sims WHERE sim > 1e-9),
 s AS (SELECT query_id, idx, view, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM v WINDOW w AS (PARTITION BY query_id, view)),
@@ -210,7 +212,7 @@ c AS (SELECT query_id, anchor, d.idx, least(a.w_turn, d.w_turn) AS s, eid FROM m
 g AS (SELECT query_id, anchor, idx, max(s) AS s, arg_max(eid, (s, -eid)) AS eid FROM c GROUP BY 1, 2, 3)
 SELECT * FROM (SELECT query_id, anchor, idx, row_number() OVER (PARTITION BY query_id, anchor ORDER BY round(s, 12) DESC, eid, idx) AS b_rank, round(s, 6) AS strength FROM g) WHERE b_rank <= 3""",
     "superseded_values": f"WITH {EVENTS}, v AS (SELECT session_id || '/' || speaker AS query_id, idx, ts, regexp_extract(text, '(\\d+)', 1) AS x FROM turns) SELECT query_id, idx FROM v a WHERE EXISTS (SELECT 1 FROM v b WHERE a.query_id = b.query_id AND b.ts > a.ts AND b.x <> a.x)",
-    "answer_calibration": "SELECT * FROM (VALUES (1, 'february 14, 2022', true, true, 'february 14, 2022'), (2, 'three cats', false, true, '12'), (3, 'red, blue', true, true, 'red'), (4, 'maria lopez', true, true, 'maria lopez'), (5, 'nobody', false, false, 'john smith|maria lopez'), (6, '42', true, true, '42')) v(query_id, calibrated, changed, supported, candidates)",
+    "answer_calibration": "SELECT * FROM (VALUES (1, 'february 14, 2022', true, true, 'february 14, 2022'), (2, 'three cats', false, true, '12'), (3, 'red, blue', true, true, 'the red'), (4, 'maria lopez', true, true, 'maria lopez'), (5, 'nobody', false, false, 'john smith|maria lopez'), (6, '42', true, true, '42')) v(query_id, calibrated, changed, supported, candidates)",
     "transcript_turns": "SELECT * FROM (VALUES ('user', 'hello there', 1706695200::BIGINT, 'a'), ('assistant', E'one\\n\\ntwo', 0, 'b'), ('user', '[1] bracketed prose', 0, 'g')) v(speaker, text, ts, uuid)",
     "spool_stream_ingest": f"WITH {TURNS} SELECT session_id, speaker, source_uuid, ts, md5(text) AS text_md5 FROM turns",
 }

@@ -1,8 +1,5 @@
-"""Schemas of the stored tables."""
+"""Schemas of the tables and lines that come from outside."""
 
-from pyspark.sql.types import StructType
-
-TURN = StructType.fromDDL("id long, session_id string, session_turn long, speaker string, text string, ts long, source_uuid string")
-SPOOL = StructType.fromDDL("session_id string, speaker string, text string, ts long, uuid string")
-LINE = StructType.fromDDL("session_id string, speaker string, text string, ts long")
-TRANSCRIPT = StructType.fromDDL("type string, uuid string, timestamp string, isSidechain boolean, isMeta boolean, message string")
+TURN = "id long, session_id string, session_turn long, speaker string, text string, ts long, source_uuid string"
+SPOOL = "session_id string, speaker string, text string, ts long, uuid string"
+LINE = "session_id string, speaker string, text string, ts long"

@@ -1,0 +1,26 @@
+import math
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def oracle(sql, sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    cur = con.execute(sql)
+    names = [d[0] for d in cur.description]
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return [names[i] for i in order], sorted((tuple(clean(r[i]) for i in order) for r in cur.fetchall()), key=repr)
+
+
+def clean(x):
+    if isinstance(x, float):
+        return "nan" if math.isnan(x) else round(x, 6) + 0.0
+    return x
+
+
+def spark_rows(df):
+    names = sorted(df.columns)
+    return names, sorted((tuple(clean(x) for x in r) for r in df.select(*names).collect()), key=repr)
