@@ -248,6 +248,17 @@ def filters(table: DataFrame, max_filter_bytes: int) -> Iterator[Filter]:
 _LEVELS = "rid long, doc_id {kind}, n_tokens long, known long, known_sum double, rest array<string>, rest_n array<int>, uni binary, bi binary, train boolean"
 
 
+def _probe_all(lm: Filter, keys: list[tuple[np.ndarray, np.ndarray]], old: list[tuple] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels of the word and pair keys of many texts, probed together; keys whose segments are elsewhere keep their old level."""
+    if not keys:
+        return []
+    flat = [k for pair in keys for k in pair]
+    level = np.concatenate([x for pair in old for x in pair]) if old else np.zeros(sum(map(len, flat)), np.uint8)
+    lm.probe(np.concatenate(flat), level)
+    parts = np.split(level, np.cumsum([len(k) for k in flat])[:-1])
+    return list(zip(parts[::2], parts[1::2]))
+
+
 def _first_pass(shared, frequent, end_count: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = shared.value
@@ -257,12 +268,9 @@ def _first_pass(shared, frequent, end_count: int, keep_text: bool):
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
                 cols = [[] for _ in range(8)]
-                for raw in common.utf8(b.column(1)):
-                    seen: Counter[bytes] = Counter()
-                    uni, bi = keys_of(raw, seen)
-                    lu, lb = np.zeros(len(uni), np.uint8), np.zeros(len(bi), np.uint8)
-                    lm.probe(uni, lu)
-                    lm.probe(bi, lb)
+                counted = [Counter() for _ in range(b.num_rows)]
+                keys = [keys_of(raw, seen) for raw, seen in zip(common.utf8(b.column(1)), counted)]
+                for seen, (lu, lb) in zip(counted, _probe_all(lm, keys)):
                     known, total, rest, rest_n = 0, 0.0, [], []
                     if end_count:
                         known, total = 1, math.log10(end_count + 0.1)
@@ -274,7 +282,7 @@ def _first_pass(shared, frequent, end_count: int, keep_text: bool):
                         else:
                             known += n
                             total += n * x
-                    for c, v in zip(cols, (rid, len(uni), known, total, rest, rest_n, lu.tobytes(), lb.tobytes())):
+                    for c, v in zip(cols, (rid, len(lu), known, total, rest, rest_n, lu.tobytes(), lb.tobytes())):
                         c.append(v)
                     rid += 1
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
@@ -293,15 +301,14 @@ def _first_pass(shared, frequent, end_count: int, keep_text: bool):
 def _next_pass(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = shared.value
-        for b in batches:
-            levels = ([], [])
-            for raw, *old in zip(common.utf8(b.column("text")), b.column("uni").to_pylist(), b.column("bi").to_pylist()):
-                for out, keys, was in zip(levels, keys_of(raw), old):
-                    now = np.frombuffer(was, np.uint8).copy()
-                    lm.probe(keys, now)
-                    out.append(now.tobytes())
-            cols = [pa.array(levels[n == "bi"], pa.binary()) if n in ("uni", "bi") else b.column(n) for n in b.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                old = zip(b.column("uni").to_pylist(), b.column("bi").to_pylist())
+                new = _probe_all(lm, [keys_of(raw) for raw in common.utf8(b.column("text"))], [tuple(np.frombuffer(x, np.uint8) for x in o) for o in old])
+                levels = list(zip(*((lu.tobytes(), lb.tobytes()) for lu, lb in new))) or [(), ()]
+                cols = [pa.array(levels[n == "bi"], pa.binary()) if n in ("uni", "bi") else b.column(n) for n in b.schema.names]
+                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
     return run
 
