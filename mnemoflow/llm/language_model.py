@@ -34,6 +34,7 @@ BITS_PER_ITEM, HASHES = 8, 4
 _END = xxhash.xxh3_64_intdigest(b"\n")  # no word contains white space
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOW40 = np.uint64((1 << 40) - 1)
+_LOW32 = np.uint64((1 << 32) - 1)
 _EDGES = BASE ** np.arange(TOP + 1)
 
 
@@ -76,11 +77,16 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
 
 
+def _place(a: np.ndarray, b: np.ndarray, i: int, size: np.ndarray) -> np.ndarray:
+    """The i-th bit of a key in a segment of ``size`` bits, fewer than 2^32."""
+    return ((((a + np.uint64(i) * b) & _LOW32) * size) >> np.uint64(32)).astype(np.int64)
+
+
 def _bits(keys: np.ndarray, item: np.ndarray | int, size: np.ndarray):
     x = _mix((keys & _LOW40) + np.uint64(1) + np.asarray(item, np.uint64) * _GOLD)
-    a, b = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
+    a, b = x & _LOW32, (x >> np.uint64(32)) | np.uint64(1)
     for i in range(HASHES):
-        yield ((a + np.uint64(i) * b) % size).astype(np.int64)
+        yield _place(a, b, i, size)
 
 
 def make_segment(keys: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
@@ -112,11 +118,13 @@ class Filter:
         own, keys = own[at], keys[at]
         size, start = self.size[own], self.start[own]
         for item in range(1, TOP + 1):
-            hit = np.ones(len(at), bool)
-            for p in _bits(keys, item, size):
-                p += start
-                hit &= (self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-            at, keys, size, start = at[hit], keys[hit], size[hit], start[hit]
+            alive = np.arange(len(at))
+            x = _mix((keys & _LOW40) + np.uint64(1) + np.uint64(item * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
+            a, b = x & _LOW32, (x >> np.uint64(32)) | np.uint64(1)
+            for i in range(HASHES):  # most misses show at the first bit
+                p = _place(a[alive], b[alive], i, size[alive]) + start[alive]
+                alive = alive[(self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+            at, keys, size, start = at[alive], keys[alive], size[alive], start[alive]
             if not len(at):
                 break
             level[at] = item
@@ -262,11 +270,11 @@ def _probe_all(lm: Filter, keys: list[tuple[np.ndarray, np.ndarray]], old: list[
 def _first_pass(shared, frequent, end_count: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = shared.value
-        logs = {w: math.log10(c + 0.1) for w, c in frequent.value.items()}
+        logs = frequent.value
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                b = batch.slice(at, 200)
                 cols = [[] for _ in range(8)]
                 counted = [Counter() for _ in range(b.num_rows)]
                 keys = [keys_of(raw, seen) for raw, seen in zip(common.utf8(b.column(1)), counted)]
@@ -373,7 +381,7 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
     ends = train.count()
     v, n = words.agg(F.count(F.lit(1)), F.sum("c")).first()
     v, n = v + (ends > 0), (n or 0) + ends
-    top = {r.word.encode(): r.c for r in words.orderBy(F.desc("c"), "word").limit(frequent).collect()}
+    top = {r.word.encode(): math.log10(r.c + 0.1) for r in words.orderBy(F.desc("c"), "word").limit(frequent).collect()}
     shared_top = spark.sparkContext.broadcast(top)
     table = build_filter(train, segment_bytes)
     levels = None
