@@ -99,7 +99,7 @@ def _write(root: str, dictionary, date: str, level: int, file_bytes: int):
             for page_id, url, html, digest, first in zip(ids, urls, common.utf8(pages), digests, firsts):
                 if out is None:
                     path = f"{base}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{number:04d}.warc.zst"
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)
                     number += 1
                     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
                     info = b"software: mnemoflow\r\nformat: WARC File Format 1.1\r\n"
@@ -182,7 +182,7 @@ def _read(root: str, payloads: bool):
         for b in batches:
             for path in b.column(0).to_pylist():
                 rows, held = [], 0
-                with fs.open_input_stream(path) as f:
+                with fs.open_input_stream(path, compression=None) as f:
                     for raw in read_frames(f):
                         fields, block = parse_record(raw)
                         kind = fields["warc-type"]
