@@ -1,4 +1,4 @@
-"""Token ids of a byte-level BPE vocabulary, at the speed of a cache of words."""
+"""Token ids of a byte-level BPE vocabulary."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ import tiktoken
 
 #: Pre-tokenisation of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_UNSAFE = re.compile(r"\s | \s")
 
 
 def _byte_of() -> dict[str, int]:
@@ -20,49 +19,24 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class Encoder(dict):
-    """Encodes texts as the tokenizer file at ``path`` does without special tokens added; ``Encoder`` itself is the cache.
+class Encoder:
+    """Encodes texts as the tokenizer file at ``path`` does without special tokens added; those spelled out in a text keep their ids."""
 
-    A space between two characters that are no white space always starts a pre-token, so a text is cut there and
-    each piece is looked up; texts with other white space next to a space are encoded whole. The cache is emptied at
-    ``most`` pieces. Special tokens spelled out in a text keep their ids, as in the tokenizer file.
-    """
-
-    def __init__(self, path: str, most: int = 300_000):
-        super().__init__()
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.most = most
         self.dtype = np.dtype("<u2" if max([*ranks.values(), *self.special.values()]) < 1 << 16 else "<u4")
         self._cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = np.array(self.encode(piece), self.dtype).tobytes()
-        if len(piece) < 64:
-            self[piece] = out
-        return out
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _UNSAFE.search(text):
-            return np.array(self.encode(text), self.dtype).tobytes()
-        first, *rest = text.split(" ")
-        return (self[first] if first else b"") + b"".join([self[" " + w] for w in rest])
-
     def ids(self, text: str) -> np.ndarray:
-        if self._cut is None or "<|" not in text and not self._cut.search(text):
-            raw = self._plain(text)
-        else:
-            parts, at = [], 0
-            for m in self._cut.finditer(text):
-                parts += [self._plain(text[at : m.start()]), np.array([self.special[m.group()]], self.dtype).tobytes()]
-                at = m.end()
-            raw = b"".join([*parts, self._plain(text[at:])])
-        return np.frombuffer(raw, self.dtype)
+        if self._cut is None or not self._cut.search(text):
+            return np.array(self.encode(text), self.dtype)
+        out, at = [], 0
+        for m in self._cut.finditer(text):
+            out += [*self.encode(text[at : m.start()]), self.special[m.group()]]
+            at = m.end()
+        return np.array(out + self.encode(text[at:]), self.dtype)
