@@ -34,10 +34,12 @@ from .suffix_array import equal_prefixes, suffix_array
 
 GRAM = 24
 NEVER = np.iinfo(np.int64).max
-_SLICE = 1 << 23
+_SLICE = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOW24 = np.uint64((1 << 24) - 1)
+_LOW40 = np.uint64((1 << 40) - 1)
+_SPREAD = np.uint64(0x9E3779B97F)
 
 
 def minimizers(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +62,8 @@ def minimizers(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     if have < width:
         h = np.minimum(h[: len(h) - (width - have)], h[width - have :])
     new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return new, np.append(new[1:], n) - 1, h[new] >> np.uint64(24)
+    # least hashes lie near 0; an odd factor spreads them over the hash ranges, one to one
+    return new, np.append(new[1:], n) - 1, ((h[new] >> np.uint64(24)) * _SPREAD) & _LOW40
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
@@ -303,7 +306,7 @@ def least_ids(contexts: list[bytes], ids: np.ndarray, length: int) -> list[np.nd
     return [by_start[a : a + n - length + 1] for a, n in zip(start, sizes)]
 
 
-def _solve_contexts(length: int, most: int = 4 << 20):
+def _solve_contexts(length: int, most: int = 1 << 20):
     """Kind 2 back to each block: runs of an entry's windows with one least id: entry (a), first and last window (b), id (c)."""
 
     def solve(rows: list[tuple]):
