@@ -166,17 +166,17 @@ SELECT doc_id, kind, array_to_string(list_transform(list_filter(regexp_split_to_
     "edge_weights": f"WITH {TURNS}, {EDGES} SELECT idx, canon, cnt, round(w_turn, 9) AS w_turn, round(w_entity, 9) AS w_entity FROM edges",
     "turn_adjacency": f"WITH {TURNS}, {ADJ} SELECT idx, other FROM adj",
     "transition_mass": f"WITH {TURNS}, {EDGES}, {TRANS} SELECT src, count(*) AS n_out, round(sum(p), 9) AS p_out FROM trans WHERE src LIKE 't%' GROUP BY 1",
-    "bm25_topk": f"WITH {TURNS}, {QS}, {BM25} SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, idx) AS rank, idx, round(score, 6) AS score FROM bm) WHERE rank <= 5",
+    "bm25_topk": f"WITH {TURNS}, {QS}, {BM25} SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, idx) AS INTEGER) AS rank, idx, round(score, 6) AS score FROM bm) WHERE rank <= 5",
     "bm25_scores": f"WITH {TURNS}, {QS}, {BM25} SELECT query_id, idx, round(score, 6) AS score FROM bm",
     "phrase_match_counts": f"WITH {TURNS} SELECT idx, CAST(len(list_filter(['the tion', 'ering', 'tion', 'ering', 'und'], lambda p: contains(lower(text), p))) AS BIGINT) AS n FROM turns",
     "fnv1a_tokens": f"WITH {TURNS}, k AS (SELECT DISTINCT unnest({tokens('text')}) AS f FROM turns), h AS (SELECT f, {_FNV} AS h FROM k) SELECT f AS token, CAST(h // 4294967296::UHUGEINT AS BIGINT) AS hi, CAST(h % 4294967296::UHUGEINT AS BIGINT) AS lo FROM h",
     "hash_embedding_cells": f"WITH {TURNS}, {vectors('turns', 'idx', 'tv')} SELECT idx, bucket, round(v, 6) AS v FROM tv WHERE abs(v) > 1e-9",
     "hash_similarities": f"WITH {TURNS}, {QS}, {SIMS} SELECT query_id, idx, round(sim, 6) AS sim FROM sims WHERE abs(sim) > 1e-6",
-    "dense_topk": f"WITH {_EMB} SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, idx) AS rank, idx, round(sim, 6) AS sim FROM s) WHERE rank <= 5",
+    "dense_topk": f"WITH {_EMB} SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, idx) AS INTEGER) AS rank, idx, round(sim, 6) AS sim FROM s) WHERE rank <= 5",
     "dense_alignment": f"WITH {_EMB} SELECT query_id, arg_min(idx, (-round(sim, 9), idx)) AS idx, round(max(sim), 6) AS sim FROM s WHERE sim > 0.55 GROUP BY 1",
     "segments_and_windows": f"WITH {EVENTS}, {hierarchy()} SELECT idx, session_id, segment, window_start FROM members",
     "gap_episodes": "WITH " + EVENTS.replace("ORDER BY user_id, ts, event_id", "ORDER BY ts, event_id") + f", {hierarchy()} SELECT segment, max(idx) AS end_idx, count(*) AS n, min(session_id) AS session_id FROM members GROUP BY 1",
-    "window_centroids": f"WITH {_EMB_TURNS} SELECT window_start, end_idx, n, pos, round(x, 6) AS x FROM cent JOIN (SELECT window_start, max(idx) AS end_idx, count(*) AS n FROM members GROUP BY 1) USING (window_start)",
+    "window_centroids": f"WITH {_EMB_TURNS} SELECT window_start, end_idx, n, CAST(pos AS INTEGER) AS pos, round(x, 6) AS x FROM cent JOIN (SELECT window_start, max(idx) AS end_idx, count(*) AS n FROM members GROUP BY 1) USING (window_start)",
     "drift_episodes": f"WITH {_EMB_TURNS}, {_DRIFT} SELECT window_start, segment, episode, n FROM eps JOIN (SELECT window_start, count(*) AS n FROM members GROUP BY 1) USING (window_start)",
     "query_profiles": f"""WITH {QS}, {PROFILE}, l AS (SELECT *, lower(text) AS w FROM q),
 d AS (SELECT query_id, {content("text")} AS kw, list_filter(['yesterday', 'last week', 'last month', 'last year', 'recently', 'earlier'], lambda m: contains(w, m)) AS mk, contains(w, 'latest') AS late,
@@ -195,8 +195,8 @@ p AS (SELECT mention, CASE
   CASE WHEN regexp_matches(mention, '^(19|20)\\d{{2}}$') THEN make_timestamp(CAST(mention AS BIGINT), 1, 1, 0, 0, 0) END AS yr FROM d)
 SELECT mention, CAST(epoch(coalesce(day, mon, yr)) AS BIGINT) AS lo, CAST(epoch(CASE WHEN day IS NOT NULL THEN day + INTERVAL 1 DAY WHEN mon IS NOT NULL THEN mon + INTERVAL 1 MONTH ELSE yr + INTERVAL 1 YEAR END) AS BIGINT) - 1 AS hi FROM p""",
     "iso_timestamps": f"SELECT s AS stamp, CASE WHEN s LIKE '%Z' AND s NOT LIKE '%:60Z' THEN CAST(floor(epoch(coalesce(try_strptime(regexp_replace(s, '\\.\\d+Z$', 'Z'), '%Y-%m-%dT%H:%M:%SZ'), try_strptime(s, '%Y-%m-%dT%H:%MZ')))) AS BIGINT) END AS seconds FROM (SELECT unnest({_list(STAMPS)}) AS s)",
-    "episode_beam": f"WITH {TURNS}, {QS}, {BASE}, {EPISODE_BEAM} SELECT query_id, episode, e_rank, round(e_score, 6) AS e_score FROM eb",
-    "window_beam": f"WITH {TURNS}, {QS}, {BASE}, {WINDOW_BEAM} SELECT query_id, window_start, w_rank, round(w_score, 6) AS w_score FROM wb",
+    "episode_beam": f"WITH {TURNS}, {QS}, {BASE}, {EPISODE_BEAM} SELECT query_id, episode, CAST(e_rank AS INTEGER) AS e_rank, round(e_score, 6) AS e_score FROM eb",
+    "window_beam": f"WITH {TURNS}, {QS}, {BASE}, {WINDOW_BEAM} SELECT query_id, window_start, CAST(w_rank AS INTEGER) AS w_rank, round(w_score, 6) AS w_score FROM wb",
     "hier_scores": f"WITH {TURNS}, {QS}, {BASE}, {HIER} SELECT query_id, idx, round(score, 6) AS score FROM hier WHERE score > 0",
     "activation_propagation": f"WITH {TURNS}, {QS}, {SIMS}, {ACT} SELECT query_id, canon, round(a, 6) AS a FROM a2",
     "personalized_pagerank": f"WITH RECURSIVE {RANK} SELECT query_id, idx, round(mass, 6) AS mass FROM rk WHERE mass > 1e-6",
@@ -204,13 +204,13 @@ SELECT mention, CAST(epoch(coalesce(day, mon, yr)) AS BIGINT) AS lo, CAST(epoch(
 v AS (SELECT query_id, idx, 'g' AS view, score FROM bm UNION ALL SELECT query_id, idx, 'h', sim FROM sims WHERE sim > 1e-9),
 s AS (SELECT query_id, idx, view, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM v WINDOW w AS (PARTITION BY query_id, view)),
 f AS (SELECT query_id, idx, sum(x * CASE view WHEN 'g' THEN w_graph ELSE 1 - w_graph END) AS score FROM s JOIN pr USING (query_id) GROUP BY 1, 2)
-SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, idx) AS rank, idx, round(score, 6) AS score FROM f) WHERE rank <= 5""",
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, idx) AS INTEGER) AS rank, idx, round(score, 6) AS score FROM f) WHERE rank <= 5""",
     "local_neighbours": f"WITH {TURNS}, r AS (SELECT *, CASE WHEN strlen(text) < 48 OR list_contains({_list(ANAPHORA)}, lower(regexp_extract(text, '\\S+'))) THEN 2 ELSE 1 END AS radius FROM turns) SELECT a.idx AS anchor, b.idx, CAST(b.idx - a.idx AS INTEGER) AS delta FROM r a JOIN turns b ON a.session_id = b.session_id AND a.idx <> b.idx AND abs(a.idx - b.idx) <= radius",
     "graph_bridges": f"""WITH {TURNS}, {QS}, {BM25}, {EDGES},
 m AS (SELECT * FROM (SELECT query_id, idx AS anchor, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, idx) AS r FROM bm) WHERE r <= 5),
 c AS (SELECT query_id, anchor, d.idx, least(a.w_turn, d.w_turn) AS s, eid FROM m JOIN edges a ON a.idx = m.anchor JOIN edges d ON d.canon = a.canon AND d.idx <> m.anchor JOIN ents e ON e.canon = a.canon),
 g AS (SELECT query_id, anchor, idx, max(s) AS s, arg_max(eid, (s, -eid)) AS eid FROM c GROUP BY 1, 2, 3)
-SELECT * FROM (SELECT query_id, anchor, idx, row_number() OVER (PARTITION BY query_id, anchor ORDER BY round(s, 12) DESC, eid, idx) AS b_rank, round(s, 6) AS strength FROM g) WHERE b_rank <= 3""",
+SELECT * FROM (SELECT query_id, anchor, idx, CAST(row_number() OVER (PARTITION BY query_id, anchor ORDER BY round(s, 12) DESC, eid, idx) AS INTEGER) AS b_rank, round(s, 6) AS strength FROM g) WHERE b_rank <= 3""",
     "superseded_values": f"WITH {EVENTS}, v AS (SELECT session_id || '/' || speaker AS query_id, idx, ts, regexp_extract(text, '(\\d+)', 1) AS x FROM turns) SELECT query_id, idx FROM v a WHERE EXISTS (SELECT 1 FROM v b WHERE a.query_id = b.query_id AND b.ts > a.ts AND b.x <> a.x)",
     "answer_calibration": "SELECT * FROM (VALUES (1, 'february 14, 2022', true, true, 'february 14, 2022'), (2, 'three cats', false, true, '12'), (3, 'red, blue', true, true, 'the red'), (4, 'maria lopez', true, true, 'maria lopez'), (5, 'nobody', false, false, 'john smith|maria lopez'), (6, '42', true, true, '42')) v(query_id, calibrated, changed, supported, candidates)",
     "transcript_turns": "SELECT * FROM (VALUES ('user', 'hello there', 1706695200::BIGINT, 'a'), ('assistant', E'one\\n\\ntwo', 0, 'b'), ('user', '[1] bracketed prose', 0, 'g')) v(speaker, text, ts, uuid)",
