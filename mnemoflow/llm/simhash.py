@@ -249,7 +249,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = common.materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "simhash-kept")
 
     def having(which: DataFrame) -> DataFrame:
-        return docs.join(which.select(F.col("doc_id").alias("_kept")), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+        return docs.join(which.select(F.col("doc_id").alias("_kept")).hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
 
     again = ids.filter("rows > 1")
     if again.isEmpty():
