@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import connected_components, forest
@@ -218,14 +219,8 @@ def link_table(groups: DataFrame, distance: int = 6, tile_rows: int = 1 << 15, l
     return rows.mapInArrow(_join_task(distance, j), "a long, b long, n long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 6, tile_rows: int = 1 << 15, levels: int | None = None, local_edges: int = 1_000_000) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), n_near (other rows linked directly), component_id
-    (smallest doc_id reachable over links), group_size (rows of the component).
-
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows are documents of their own. A null
-    doc_id takes part; it never names a component unless all its ids are null. An empty table gives an empty result.
-    Other columns are ignored.
-    """
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 6, tile_rows: int = 1 << 15, levels: int | None = None, local_edges: int = 1_000_000) -> DataFrame:
+    """(doc_id, fp, n_near, component_id, group_size, root) for every row; root is the least fingerprint of the component, which tells apart those that share a component_id."""
     fps = common.materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
     groups = common.materialize(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("cnt"), F.min("doc_id").alias("rep")), "simhash-groups")
     links = common.materialize(link_table(groups, distance, tile_rows, levels), "simhash-links")
@@ -235,23 +230,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = groups.join(degree, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("cnt").alias("group_size"))
     nodes = common.materialize(
-        nodes.join(least, "root").select("fp", (F.col("cnt") - 1 + F.coalesce("other", F.lit(0))).alias("n_near"), "component_id", "group_size"), "simhash-nodes"
+        nodes.join(least, "root").select("fp", (F.col("cnt") - 1 + F.coalesce("other", F.lit(0))).alias("n_near"), "component_id", "group_size", "root"), "simhash-nodes"
     )
     rows = fps.count()
-    out = common.join_unique(fps, nodes, "fp", groups.filter(F.col("cnt") * 256 > rows))
+    return common.join_unique(fps, nodes, "fp", groups.filter(F.col("cnt") * 256 > rows)).select("doc_id", "fp", "n_near", "component_id", "group_size", "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), n_near (other rows linked directly), component_id
+    (smallest doc_id reachable over links), group_size (rows of the component).
+
+    Null and empty texts have fingerprint zero and link like any other. Repeated rows are documents of their own. A null
+    doc_id takes part; it never names a component unless all its ids are null. An empty table gives an empty result.
+    Other columns are ignored.
+    """
+    out = _grouped(docs, id_col, text_col, **options)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id", "group_size")
 
 
+def _with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, and the fingerprint ``_fp`` of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(x) for x in common.utf8(b.column(b.num_columns - 1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], names=[*b.schema.names[:-1], "_fp"])
+
+    rows = docs.select("*", F.col(text_col).cast("string").alias("_fp"))
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay when each group of near duplicates keeps the one with the smallest id; of rows
-    that repeat that id in the group, one stays. A group with null ids only keeps one of its rows with a null id."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    ids = common.materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "simhash-kept")
+    that repeat that id in the group, one with the least fingerprint stays. A group with null ids only keeps one of its rows with a null id.
+
+    An id that the table has once names its row. Rows of other ids are told apart by their fingerprints, which are made again for them alone.
+    """
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = common.materialize(_grouped(docs, id_col, text_col, **options).select("doc_id", "root", F.when(named, F.col("fp")).alias("fp"), named.alias("named")), "simhash-found")
+    ids = common.materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("named").alias("named")).filter("named"), "simhash-kept")
+    key = F.col(id_col).cast("long")
 
     def having(which: DataFrame) -> DataFrame:
-        return docs.join(which.select(F.col("doc_id").alias("_kept")).hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+        return docs.join(which.select(F.col("doc_id").alias("_kept")).hint("merge"), key == F.col("_kept"), "left_semi")
 
-    again = ids.filter("rows > 1")
+    once = having(ids.filter("rows = 1 and doc_id is not null"))
+    again = ids.filter("rows > 1 or doc_id is null")
     if again.isEmpty():
-        return having(ids)
-    return having(ids.filter("rows = 1")).unionByName(having(again).dropDuplicates([id_col]))
+        return once
+    least = found.filter("named").groupBy("root").agg(F.min("doc_id").alias("_kept"), F.min("fp").alias("_least"))
+    rows = having(again)
+    if not again.filter("doc_id is null").isEmpty():
+        rows = rows.unionByName(docs.filter(key.isNull()))
+    rows = _with_fingerprint(rows, text_col).withColumn("_id", key).dropDuplicates(["_id", "_fp"])
+    rows = rows.join(least.hint("merge"), F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_least")), "left_semi")
+    return once.unionByName(rows.select(docs.columns))

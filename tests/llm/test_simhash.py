@@ -80,3 +80,10 @@ def test_blocks_do_not_change_a_fingerprint(monkeypatch):
     blocks = common.word_blocks
     monkeypatch.setattr(common, "word_blocks", lambda raw, block=64: blocks(raw, 64))
     assert simhash.fingerprint(text) == whole == slow_fingerprint(text.decode())
+
+
+def test_groups_that_share_an_id_each_keep_a_row(spark):
+    rows = [(None, "a b c d"), (None, "q w e r t y"), (None, "q w e r t y"), (5, "one two three"), (5, "z x c v b n m"), (7, "k j h g"), (7, "near to two"), (2, "near to two"), (None, "k j h g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicate(df).collect()), key=repr)
+    assert got == sorted([(None, "a b c d"), (None, "q w e r t y"), (5, "one two three"), (5, "z x c v b n m"), (7, "k j h g"), (2, "near to two")], key=repr)
