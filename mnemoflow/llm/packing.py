@@ -3,7 +3,7 @@
 Texts are tokenised once, and their pieces are kept as a table. A document fills as many whole windows as it can; the
 rest of it (shorter than a window) is packed with other rests. These are dealt to shards of about ``shard_units`` by
 ranges of a minimum hash of their token pairs, so texts that share much meet, while a hot group splits over shards by
-id. Each shard is a BM25 inverted index of its rests: a seed takes its best unused neighbours until the window is full,
+id. BM25 counts units, lengths and terms over the rests of all shards; each shard is an inverted index of its own rests: a seed takes its best unused neighbours until the window is full,
 the last one cut; what is left of that is the next seed. Only a shard's very last window can need padding.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +64,44 @@ def _tokenize(path: str, window: int, end: int, id_type: pa.DataType):
     return run
 
 
+@dataclass
+class Statistics:
+    """What BM25 knows of all units: how many there are, their mean length, and the units with each token id."""
+
+    units: int
+    mean: float
+    df: np.ndarray
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[pa.RecordBatch]:
+    df, units, tokens = np.zeros(0, np.int64), 0, 0
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            ids = np.frombuffer(raw, dtype)
+            found = np.unique(ids)
+            if found[-1] >= len(df):
+                df = np.append(df, np.zeros(found[-1] + 1 - len(df), np.int64))
+            df[found] += 1
+            units, tokens = units + 1, tokens + len(ids)
+    term = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [units, tokens]))], names=["term", "n"])
+
+
+def count_terms(units: DataFrame, dtype: np.dtype) -> Statistics:
+    """Statistics of the column ``ids`` over all rows; their size is the vocabulary's, whatever the number of rows."""
+    made = units.select("ids").mapInArrow(lambda batches: _count_terms(batches, dtype), "term long, n long")
+    n = {r.term: r.n for r in made.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = np.zeros(max(n, default=-1) + 1, np.int64)
+    for term, k in n.items():
+        if term >= 0:
+            df[term] = k
+    return Statistics(n.get(-1, 0), n.get(-2, 0) / max(1, n.get(-1, 0)), df)
+
+
 class Index:
-    """BM25 over the units of a shard, whose terms are token ids."""
+    """BM25 over the units of a shard, whose terms are token ids, with the statistics of all units (without them, the shard's)."""
 
-    def __init__(self, units: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, units: list[np.ndarray], whole: Statistics | None = None, k1: float = 1.2, b: float = 0.75):
         n = np.array([len(u) for u in units])
         unit = np.repeat(np.arange(len(units), dtype=np.int64), n)
         term = np.concatenate(units).astype(np.int64)
@@ -74,8 +109,11 @@ class Index:
         unit, term = pair >> 32, pair & 0xFFFFFFFF
         self.first = np.searchsorted(unit, np.arange(len(units) + 1))
         terms, place, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((len(units) - df + 0.5) / (df + 0.5))
-        weight = idf[place] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[unit] / n.mean()))
+        count, mean = len(units), n.mean()
+        if whole is not None:
+            count, mean, df = whole.units, whole.mean, whole.df[terms]
+        idf = np.log1p((count - df + 0.5) / (df + 0.5))
+        weight = idf[place] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[unit] / mean))
         self.place, self.weight = place, weight
         order = np.argsort(place, kind="stable")
         self.unit_of, self.weight_of = unit[order], weight[order].astype(np.float32)
@@ -95,9 +133,9 @@ class Index:
         return out
 
 
-def pack_shard(units: list[np.ndarray], window: int, terms: int = 16) -> Iterator[list[tuple[int, int, int]]]:
+def pack_shard(units: list[np.ndarray], window: int, terms: int = 16, whole: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Windows of a shard as lists of (unit, from, to): a seed, then its best unused neighbours, the last one cut."""
-    index = Index(units)
+    index = Index(units, whole)
     used = np.zeros(len(units), bool)
     seed, begin, next_free = 0, 0, 0
     while True:
@@ -132,14 +170,14 @@ def pack_shard(units: list[np.ndarray], window: int, terms: int = 16) -> Iterato
         yield row
 
 
-def _pack(window: int, terms: int, shard_units: int, dtype, id_type: pa.DataType):
+def _pack(window: int, terms: int, shard_units: int, dtype, id_type: pa.DataType, whole):
     schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def solve(t: pa.Table, number: int):
         docs, starts, totals = t.column("doc_id").to_pylist(), t.column("start").to_numpy(), t.column("doc_tokens").to_numpy()
         units = [np.frombuffer(x, dtype) for x in t.column("ids").to_pylist()]
         rows = []
-        for row in pack_shard(units, window, terms):
+        for row in pack_shard(units, window, terms, whole.value):
             offset = 0
             for u, a, b in row:
                 part = units[u][a:b]
@@ -179,10 +217,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, id_c
     made = rows.mapInArrow(_tokenize(tokenizer, window, end, id_type), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, ids_crc32 long, sequence_id long, sig long")
     made = common.materialize(made, "packing-pieces")
     rest = made.filter("sequence_id is null").select("sig", "doc_id", "start", "doc_tokens", "ids")
-    shards = max(1, -(-rest.count() // (4 * shard_units)))
+    whole = count_terms(rest, encoder.dtype)
+    shards = max(1, -(-whole.units // (4 * shard_units)))
     rest = rest.repartitionByRange(shards, "sig", "doc_id", "start").sortWithinPartitions("sig", "doc_id", "start", "ids")
     fields = f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, ids_crc32 long, sequence_id long, offset long"
-    packed = rest.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack(window, terms, shard_units, encoder.dtype, id_type), fields)
+    packed = rest.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack(window, terms, shard_units, encoder.dtype, id_type, docs.sparkSession.sparkContext.broadcast(whole)), fields)
     full = made.filter("sequence_id is not null").drop("sig").withColumn("offset", F.lit(0).cast("long"))
     return full.unionByName(packed)
 

@@ -71,3 +71,33 @@ def test_neighbours_share_words():
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t 'sabé1|.<>")), max_size=60))
 def test_ids_equal_the_tokenizer(text):
     assert ENCODER.ids(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_statistics_are_those_of_all_units(spark):
+    texts = [(i, f"{'common ' * (i % 7)}words number {i % 13} and {'rare' if i == 3 else 'more'}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    units = [np.array(TOKENIZER.encode(t, add_special_tokens=False).ids + [0]) for _, t in texts]
+    df = np.zeros(max(u.max() for u in units) + 1, np.int64)
+    for u in units:
+        df[np.unique(u)] += 1
+    seen = []
+    count = packing.count_terms
+    try:
+        packing.count_terms = lambda *a: seen.append(count(*a)) or seen[-1]
+        packing.pack(docs, tokenizer_path(), shard_units=8).collect()
+    finally:
+        packing.count_terms = count
+    assert len(seen) == 1 and seen[0].units == 60 and np.array_equal(seen[0].df, df)
+    assert np.isclose(seen[0].mean, np.mean([len(u) for u in units]))
+
+
+def test_a_shard_weighs_terms_as_all_units_do():
+    rng = np.random.default_rng(1)
+    units = [rng.integers(0, 50, rng.integers(5, 40)).astype("<u2") for _ in range(40)]
+    df = np.zeros(50, np.int64)
+    for u in units:
+        df[np.unique(u)] += 1
+    index = packing.Index(units[:10], packing.Statistics(40, np.mean([len(u) for u in units]), df))
+    alone = packing.Index(units)
+    few = int(index.first[10])
+    assert np.allclose(index.weight, alone.weight[:few])
