@@ -3,7 +3,7 @@
 Texts are tokenised once, and their pieces are kept as a table. A document fills as many whole windows as it can; the
 rest of it (shorter than a window) is packed with other rests. These are dealt to shards of about ``shard_units`` by
 ranges of a minimum hash of their token pairs, so texts that share much meet, while a hot group splits over shards by
-id. BM25 counts units, lengths and terms over the rests of all shards; each shard is an inverted index of its own rests: a seed takes its best unused neighbours until the window is full,
+id. BM25 counts units, lengths and terms over the rests of all shards; each shard is an inverted index of its own rests: a seed takes its best unused neighbours, by all its terms, until the window is full,
 the last one cut; what is left of that is the next seed. Only a shard's very last window can need padding.
 """
 
@@ -115,25 +115,33 @@ class Index:
         idf = np.log1p((count - df + 0.5) / (df + 0.5))
         weight = idf[place] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[unit] / mean))
         self.place, self.weight = place, weight
-        order = np.argsort(place, kind="stable")
-        self.unit_of, self.weight_of = unit[order], weight[order].astype(np.float32)
-        self.start = np.searchsorted(place[order], np.arange(len(terms) + 1))
         self.size = len(units)
+        # Terms in many units are multiplied out for all pairs of units, in blocks of terms; of the others the places are kept.
+        local = np.bincount(place, minlength=len(terms))
+        often = local * 32 >= len(units)
+        row, dense = np.where(often, np.cumsum(often) - 1, -1)[place], often[place]
+        self.common = np.zeros((len(units), len(units)), np.float32)
+        for at in range(0, int(often.sum()), 1024):
+            own = np.flatnonzero((row >= at) & (row < at + 1024))
+            has, gives = np.zeros((len(units), 1024), np.float32), np.zeros((1024, len(units)), np.float32)
+            has[unit[own], row[own] - at] = 1
+            gives[row[own] - at, unit[own]] = weight[own]
+            self.common += has @ gives
+        order = np.flatnonzero(~dense)
+        order = order[np.argsort(place[order], kind="stable")]
+        self.unit_of, self.weight_of = unit[order], weight[order]
+        self.start = np.searchsorted(place[order], np.arange(len(terms) + 1))
 
-    def scores(self, seed: int, terms: int) -> np.ndarray:
-        """Each unit's BM25 score for the seed's ``terms`` heaviest terms."""
-        own = slice(self.first[seed], self.first[seed + 1])
-        place = self.place[own]
-        if len(place) > terms:
-            place = place[np.argpartition(-self.weight[own], terms)[:terms]]
-        out = np.zeros(self.size, np.float32)
-        for p in place:
-            s = slice(self.start[p], self.start[p + 1])
-            out[self.unit_of[s]] += self.weight_of[s]
-        return out
+    def scores(self, seed: int) -> np.ndarray:
+        """Each unit's BM25 score for all distinct terms of the seed."""
+        place = self.place[self.first[seed] : self.first[seed + 1]]
+        start = self.start[place]
+        n = self.start[place + 1] - start
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.common[seed] + np.bincount(self.unit_of[at], weights=self.weight_of[at], minlength=len(self.common))
 
 
-def pack_shard(units: list[np.ndarray], window: int, terms: int = 16, whole: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
+def pack_shard(units: list[np.ndarray], window: int, whole: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Windows of a shard as lists of (unit, from, to): a seed, then its best unused neighbours, the last one cut."""
     index = Index(units, whole)
     used = np.zeros(len(units), bool)
@@ -150,7 +158,7 @@ def pack_shard(units: list[np.ndarray], window: int, terms: int = 16, whole: Sta
         room = window - (len(units[seed]) - begin)
         begin = 0
         if room:
-            score = index.scores(seed, terms)
+            score = index.scores(seed)
             score[used] = -1
             few = min(len(units), 64)
             while room:
@@ -170,14 +178,14 @@ def pack_shard(units: list[np.ndarray], window: int, terms: int = 16, whole: Sta
         yield row
 
 
-def _pack(window: int, terms: int, shard_units: int, dtype, id_type: pa.DataType, whole):
+def _pack(window: int, shard_units: int, dtype, id_type: pa.DataType, whole):
     schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def solve(t: pa.Table, number: int):
         docs, starts, totals = t.column("doc_id").to_pylist(), t.column("start").to_numpy(), t.column("doc_tokens").to_numpy()
         units = [np.frombuffer(x, dtype) for x in t.column("ids").to_pylist()]
         rows = []
-        for row in pack_shard(units, window, terms, whole.value):
+        for row in pack_shard(units, window, whole.value):
             offset = 0
             for u, a, b in row:
                 part = units[u][a:b]
@@ -201,7 +209,7 @@ def _pack(window: int, terms: int, shard_units: int, dtype, id_type: pa.DataType
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, id_col: str = "doc_id", text_col: str = "text", terms: int = 16, shard_units: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_units: int = 2048) -> DataFrame:
     """Pieces of all documents, each of whose ids (text, then ``end``) lies in exactly one: doc_id, start, length,
     doc_tokens, ids (little-endian, 2 bytes an id if the vocabulary allows, else 4), ids_crc32, sequence_id, offset.
 
@@ -221,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, id_c
     shards = max(1, -(-whole.units // (4 * shard_units)))
     rest = rest.repartitionByRange(shards, "sig", "doc_id", "start").sortWithinPartitions("sig", "doc_id", "start", "ids")
     fields = f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, ids_crc32 long, sequence_id long, offset long"
-    packed = rest.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack(window, terms, shard_units, encoder.dtype, id_type, docs.sparkSession.sparkContext.broadcast(whole)), fields)
+    packed = rest.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack(window, shard_units, encoder.dtype, id_type, docs.sparkSession.sparkContext.broadcast(whole)), fields)
     full = made.filter("sequence_id is not null").drop("sig").withColumn("offset", F.lit(0).cast("long"))
     return full.unionByName(packed)
 

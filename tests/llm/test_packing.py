@@ -101,3 +101,26 @@ def test_a_shard_weighs_terms_as_all_units_do():
     alone = packing.Index(units)
     few = int(index.first[10])
     assert np.allclose(index.weight, alone.weight[:few])
+
+
+def test_all_terms_of_a_seed_count():
+    rng = np.random.default_rng(2)
+    units = [np.concatenate([rng.integers(0, 30, 40), rng.integers(30, 2000, 60)]).astype("<u2") for _ in range(90)]
+    n, sets = np.array([len(u) for u in units]), [set(u.tolist()) for u in units]
+    df = {t: sum(t in s for s in sets) for t in set().union(*sets)}
+    index = packing.Index(units)
+    for seed in (0, 17, 89):
+        expected = np.zeros(90)
+        for u, unit in enumerate(units):
+            for t in sets[seed] & sets[u]:
+                tf = int((unit == t).sum())
+                expected[u] += np.log1p((90 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n[u] / n.mean()))
+        assert np.allclose(index.scores(seed), expected, rtol=1e-5)
+
+
+def test_terms_beyond_the_heaviest_decide():
+    # the seed's 40 rarest terms are its own; the unit that shares the other 40 comes before those that share none
+    seed = np.arange(100, 180)
+    units = [seed, *(np.arange(1000 + 50 * i, 1050 + 50 * i) for i in range(70)), np.concatenate([seed[40:], np.arange(5000, 5010)]), *(np.repeat(seed[40 + i], 50) for i in range(40))]
+    rows = next(iter(packing.pack_shard([u.astype("<u2") for u in units], 130)))
+    assert rows[1][0] == 71
