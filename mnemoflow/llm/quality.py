@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,47 @@ N_CLASSES = 11
 N_STATS = N_CLASSES + 16
 
 
+class _Tally:
+    """How many distinct items there are and how often the most frequent one occurs, of items by their 64-bit hashes:
+    8 bytes an item between merges, which come when the new ones outnumber the distinct ones."""
+
+    def __init__(self, least: int = 1 << 20):
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new: list[np.ndarray] = []
+        self.size, self.least = 0, least
+
+    def add(self, items: list[bytes]) -> None:
+        self.new.append(np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items)))
+        self.size += len(items)
+        if self.size > max(self.least, len(self.hashes)):
+            self._merge()
+
+    def _merge(self) -> None:
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.new]), return_counts=True)
+        self.new, self.size = [], 0
+        if not len(self.hashes):
+            self.hashes, self.counts = h, n
+            return
+        h, n = np.concatenate([self.hashes, h]), np.concatenate([self.counts, n])
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        self.hashes, self.counts = h[first], np.add.reduceat(n, first)
+
+    def result(self) -> tuple[int, int]:
+        self._merge()
+        return len(self.hashes), int(self.counts.max(initial=0))
+
+
+def _line_blocks(raw: bytes, block: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The lines of a text, split at line feeds, in lists from slices of about ``block`` bytes."""
+    at = 0
+    while (to := raw.find(b"\n", at + block)) >= 0:
+        yield raw[at:to].split(b"\n")
+        at = to + 1
+    yield raw[at:].split(b"\n")
+
+
 def statistics(raw: bytes | None) -> np.ndarray:
     """Shares of character classes, word, line and repetition statistics of a text; all zero for an empty one."""
     raw = raw or b""
@@ -41,18 +83,18 @@ def statistics(raw: bytes | None) -> np.ndarray:
     length = length[length > 0]
     lines = np.diff(np.concatenate([[-1], np.flatnonzero(b == 10), [len(b)]])) - 1
     n = distinct = most = runs = 0
-    seen: dict[bytes, int] = {}
+    seen = _Tally()
     last = None
     for words in common.word_blocks(raw):
         n += len(words)
-        if len(seen) < 1 << 20:
-            for w in words:
-                seen[w] = seen.get(w, 0) + 1
+        seen.add(words)
         runs += sum(map(bytes.__eq__, words, words[1:])) + (bool(words) and words[0] == last)
         last = words[-1] if words else last
-    distinct, most = len(seen), max(seen.values(), default=0)
-    parts = raw.split(b"\n") if len(raw) < 1 << 22 else []
-    again = 1 - len(set(parts)) / len(parts) if parts else 0.0
+    distinct, most = seen.result()
+    parts = _Tally()
+    for block in _line_blocks(raw):
+        parts.add(block)
+    again = 1 - parts.result()[0] / len(lines)
     words = max(n, 1)
     out[N_CLASSES:] = (
         np.log1p(len(b)),

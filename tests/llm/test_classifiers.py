@@ -62,3 +62,22 @@ def test_toxic_words_save_bytes():
     model = toxicity.fit(texts[:120], np.array(y[:120]), 0.25)
     got = np.array([model.score(t) for t in texts[120:]])
     assert auc(got, y[120:]) > 0.98
+
+
+@pytest.mark.parametrize("size", [3 << 20, 9 << 20])
+def test_statistics_count_the_whole_of_a_long_text(size):
+    page = b"the same line again\n" * (size // 20)
+    shares = quality.statistics(page)[quality.N_CLASSES :]
+    assert shares[14] == pytest.approx(1 - 2 / (size // 20 + 1)) and shares[7] == pytest.approx(4 / (size // 20 * 4))
+    n = size // 6
+    words = b" ".join([b"%x" % i for i in range(n)] + [b"again"] * n)
+    shares = quality.statistics(words)[quality.N_CLASSES :]
+    assert shares[7] == pytest.approx((n + 1) / (2 * n)) and shares[9] == pytest.approx(0.5)
+
+
+def test_tally_merges():
+    tally = quality._Tally(least=3)
+    for k in range(7):
+        tally.add([b"%d" % (i % 11) for i in range(k * 5)])
+    tally.add([])
+    assert tally.result() == (11, sum(i % 11 == 0 for k in range(7) for i in range(k * 5))) and quality._Tally().result() == (0, 0)
