@@ -24,8 +24,8 @@ def drain(spark: SparkSession, spool: str, store: str, checkpoint: str, tombston
     """Start a stream that appends the spool's new turns to the Parquet ``store``.
 
     A batch that is repeated after a failure finds its uuids stored and adds nothing; malformed lines and empty texts are
-    skipped; turns of forgotten sessions are dropped. The store is pruned by session bucket, so a batch reads only the
-    buckets it writes to.
+    skipped; turns of forgotten sessions are dropped. A uuid is stored once in the whole store, under whichever session it
+    came first, so a batch reads the column of uuids of all session buckets.
     """
     bucket = F.pmod(F.xxhash64("session_id"), F.lit(64)).cast("int")
 
@@ -35,8 +35,7 @@ def drain(spark: SparkSession, spool: str, store: str, checkpoint: str, tombston
         if tombstones is not None:
             rows = rows.join(tombstones.select("session_id").distinct(), "session_id", "left_anti")
         rows = rows.withColumn("_n", F.monotonically_increasing_id())
-        buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]  # 64 at most
-        stored = spark.read.schema(STORED + ", bucket int").option("basePath", store).parquet(store).filter(F.col("bucket").isin(buckets))
+        stored = spark.read.schema(STORED + ", bucket int").parquet(store).select("source_uuid").join(rows.select("source_uuid"), "source_uuid", "left_semi")
         new_turns(rows, stored, "_n").drop("_n").write.mode("append").partitionBy("bucket").parquet(store)
 
     spark.createDataFrame([], STORED + ", bucket int").write.mode("append").partitionBy("bucket").parquet(store)

@@ -196,3 +196,14 @@ def test_rpc_protocol():
     assert len(rpc.answer(None, '{"id":1,"method":"tools/list"}')["result"]["tools"]) == 3
     assert rpc.answer(None, '{"id":1,"method":"tools/call","params":{"name":"x"}}')["result"]["isError"]
     assert rpc.answer(None, "{")["error"]["code"] == -32700
+
+
+def test_a_uuid_is_stored_once_in_all_sessions(spark, tmp_path):
+    from mnemoflow.schema import SPOOL
+    from mnemoflow.streaming.spool import drain, write_event
+
+    for k, rows in enumerate([[("s1", "user", "first", 1, "u-1"), ("s1", "user", "no id", 2, None)], [(f"s{i}", "user", "again", 3, "u-1") for i in range(2, 6)] + [("s9", "user", "new", 4, "u-2"), ("s9", "user", "no id", 5, None)]]):
+        write_event(spark.createDataFrame(rows, SPOOL).coalesce(1), f"{tmp_path}/in")
+        drain(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/checkpoint").awaitTermination()
+        got = sorted((r.session_id, r.text) for r in spark.read.parquet(f"{tmp_path}/store").collect())
+        assert got == [("s1", "first"), ("s1", "no id")] + [("s9", "new"), ("s9", "no id")] * k
