@@ -121,11 +121,11 @@ def _marks(texts: list[bytes], toxic: np.ndarray) -> set[bytes]:
     return set()
 
 
-def train_dictionaries(texts: list[bytes], toxic: np.ndarray, window: int = 16, toxic_bytes: int = 2048, ordinary_bytes: int = 8192, seed: int = 1) -> Model:
+def train_dictionaries(texts: list[bytes], toxic: np.ndarray, window: int = 16, toxic_bytes: int = 2048, ordinary_bytes: int = 8192, seed: int = 1, sample_windows: int = 40_000) -> Model:
     marks = _marks(texts, toxic)
     bad = [b" " + w + b" " for t, y in zip(texts, toxic) if y for w in t.lower().split() if _pieces(w) & marks]
     good = [w for t, y in zip(texts, toxic) if not y for w in windows(t, 64)]
-    pick = np.random.default_rng(seed).permutation(len(good))[:40_000]
+    pick = np.random.default_rng(seed).permutation(len(good))[:sample_windows]
     return Model(_train([good[i] for i in pick], ordinary_bytes), _train(bad, toxic_bytes), window)
 
 
@@ -142,7 +142,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, share: float, window: int = 16) -> Model:
+def fit(texts: list[bytes], toxic: np.ndarray, share: float, window: int = 16, sample_windows: int = 40_000) -> Model:
     """Dictionaries from all texts; thresholds from distances under dictionaries that a text had no part in (four folds).
     ``share`` is the toxic share of the labels, to which scores are calibrated whatever the sample's is."""
     toxic = np.asarray(toxic, bool)
@@ -156,10 +156,10 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float, window: int = 16) -
     for k in range(4):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(rest):
-            part = train_dictionaries([texts[i] for i in rest], toxic[rest], window)
+            part = train_dictionaries([texts[i] for i in rest], toxic[rest], window, sample_windows=sample_windows)
             for i in own:
                 x[i] = part.features(texts[i])
-    model = train_dictionaries(texts, toxic, window)
+    model = train_dictionaries(texts, toxic, window, sample_windows=sample_windows)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     here = toxic.mean()
     weight = np.where(toxic, share / here, (1 - share) / (1 - here))
@@ -184,9 +184,10 @@ def _spread(size: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 1500, doc_bytes: int = 16 << 10, window: int = 16) -> Model:
-    """Fit on about ``sample_docs`` toxic and three times as many other documents at most, chosen by a hash of the id. Labels that are null or
-    without a document are ignored; of repeated labels of an id the largest counts."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 1500, doc_bytes: int = 16 << 10, window: int = 16, sample_windows: int = 40_000) -> Model:
+    """Fit on about ``sample_docs`` toxic and three times as many other documents at most, chosen by a hash of the id, and
+    of each ``doc_bytes`` at most. The ordinary dictionary is trained on ``sample_windows`` of the 64-byte windows of the others' texts at most,
+    chosen at random. Labels that are null or without a document are ignored; of repeated labels of an id the largest counts."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     known = common.materialize(known, "toxicity-labels")
     sizes = {int(r.y > 0): r["n"] for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -203,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "doc_id")
         rows = texts.mapInArrow(_spread(doc_bytes), f"doc_id {kind}, raw binary, y int").collect()
         rows.sort(key=lambda r: r.doc_id)
-    return fit([bytes(r.raw) for r in rows], np.array([r.y > 0 for r in rows], bool), sizes.get(1, 0) / total if total else 0.5, window)
+    return fit([bytes(r.raw) for r in rows], np.array([r.y > 0 for r in rows], bool), sizes.get(1, 0) / total if total else 0.5, window, sample_windows)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
