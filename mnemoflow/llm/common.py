@@ -10,8 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +52,67 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete the files behind tables made by ``materialize`` that no later plan reads."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(t.sparkSession, t._scratch)
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    """Delete a scratch folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def write_blocks(rows: DataFrame, root: str, text_col: str, block_bytes: int) -> DataFrame:
+    """Write ``rows`` under ``root`` in files of about ``block_bytes`` of text; a larger text is a block of its own.
+
+    Returns the manifest (block, path, rows, bytes), a written table. Names carry the attempt, and only files of
+    attempts that ended are in the manifest, so lost or repeated tasks do no harm.
+    """
+    made = pa.schema([("block", pa.int64()), ("path", pa.string()), ("rows", pa.int64()), ("bytes", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa.fs.FileSystem.from_uri(root)
+        task, done, held, size = TaskContext.get(), [], [], 0
+
+        def write():
+            block = task.partitionId() << 24 | len(done)
+            path = f"{base}/block-{block:012x}-{task.taskAttemptId()}.parquet"
+            t = pa.Table.from_batches(held)
+            with fs.open_output_stream(path) as f:
+                pq.write_table(t, f, compression="zstd", use_dictionary=False, write_statistics=False)
+            done.append((block, path, t.num_rows, size))
+
+        for batch in batches:
+            n = np.array([len(x) if x else 0 for x in utf8(batch.column(text_col))])
+            at = 0
+            while at < batch.num_rows:
+                to = at + int(np.searchsorted(np.cumsum(n[at:]), block_bytes - size, "right"))
+                if to > at or not held:
+                    to = max(to, at + 1)
+                    held.append(batch.slice(at, to - at))
+                    size += int(n[at:to].sum())
+                    at = to
+                if at < batch.num_rows:
+                    write()
+                    held, size = [], 0
+        if held:
+            write()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), made)], schema=made)
+
+    fs, base = pa.fs.FileSystem.from_uri(root)
+    fs.create_dir(base)
+    return materialize(rows.mapInArrow(run, "block long, path string, rows long, bytes long"), "blocks")
+
+
+def read_block(path: str, root: str) -> pa.Table:
+    fs, _ = pa.fs.FileSystem.from_uri(root)
+    with fs.open_input_file(path) as f:
+        return pq.read_table(f)
+
+
+def rows_batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
