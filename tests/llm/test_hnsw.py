@@ -54,6 +54,40 @@ def test_lengths_copies_and_query_blocks(spark):
     check(got, exact(rows, 20), 0.9)
 
 
+@pytest.mark.parametrize("jitter,shard_rows", [(0.0, 16384), (1e-3, 16384), (1e-3, 700), (None, 1000)])
+def test_copies_and_tight_clusters(spark, jitter, shard_rows):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(4000, 64)) if jitter is None else np.repeat(rng.normal(size=(20, 64)), 200, axis=0) + jitter * rng.normal(size=(4000, 64))
+    rows = [(int(i), [float(x) for x in r]) for i, r in zip(rng.permutation(4000), v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(hnsw.build_index(df, shard_rows=shard_rows), df.filter("vec_id % 20 = 0"), 20).collect()
+    check(got, exact(rows, 20), 0.95)
+
+
+def test_links_come_from_insertion():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 16))
+    g = hnsw.build(v)
+    tops = [len(g[k]) for k in sorted(g) if k.startswith("nodes")]
+    assert tops[0] == 3000 and tops == sorted(tops, reverse=True) and len(tops) > 1
+    for l in range(len(tops)):
+        links = g[f"links{l}"]
+        assert links.max() < tops[l] and not (links == np.arange(tops[l])[:, None]).any()
+        assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in links)
+    reached, edge = {int(g["entry"][0])}, [int(g["entry"][0])]
+    while edge:
+        edge = list({int(i) for n in edge for i in g["links0"][n] if i >= 0} - reached)
+        reached |= set(edge)
+    assert len(reached) == 3000
+
+
+def test_vectors_of_several_dimensions(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (20, [3.0]), (2, [5.0]), (3, [-1.0]), (4, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in hnsw.nearest(hnsw.build_index(df), df.filter("vec_id % 20 = 0"), 20).collect())
+    assert got == [(0, 1, 4, 9.0), (0, 2, 1, 2.0), (20, 1, 2, 15.0), (20, 2, 3, -3.0)]
+
+
 def test_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (20, None), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 0.0]), (None, [1.0, 1.0]), (40, [0.0, 1.0]), (0, [1.0, 0.0]), (7, [1.0])]
