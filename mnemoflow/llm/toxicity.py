@@ -6,8 +6,8 @@ that the toxic part saves are the window's distance. How many windows save how m
 threshold to a score. A window is led by a preamble that both dictionaries hold, so that even a short one becomes a
 compressed block and its length tells matches from literals.
 
-Fitting uses a bounded sample of labelled documents (``sample_docs`` toxic ones and three times as many others, at most ``doc_bytes`` spread evenly over
-each); scoring reads every text whole, in one pass without a shuffle.
+Fitting uses a bounded sample of labelled documents, their texts whole; scoring reads every text whole, in one pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -121,12 +121,11 @@ def _marks(texts: list[bytes], toxic: np.ndarray) -> set[bytes]:
     return set()
 
 
-def train_dictionaries(texts: list[bytes], toxic: np.ndarray, window: int = 16, toxic_bytes: int = 2048, ordinary_bytes: int = 8192, seed: int = 1, sample_windows: int = 40_000) -> Model:
+def train_dictionaries(texts: list[bytes], toxic: np.ndarray, window: int = 16, toxic_bytes: int = 2048, ordinary_bytes: int = 8192) -> Model:
     marks = _marks(texts, toxic)
     bad = [b" " + w + b" " for t, y in zip(texts, toxic) if y for w in t.lower().split() if _pieces(w) & marks]
     good = [w for t, y in zip(texts, toxic) if not y for w in windows(t, 64)]
-    pick = np.random.default_rng(seed).permutation(len(good))[:sample_windows]
-    return Model(_train([good[i] for i in pick], ordinary_bytes), _train(bad, toxic_bytes), window)
+    return Model(_train(good, ordinary_bytes), _train(bad, toxic_bytes), window)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -142,7 +141,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, share: float, window: int = 16, sample_windows: int = 40_000) -> Model:
+def fit(texts: list[bytes], toxic: np.ndarray, share: float, window: int = 16) -> Model:
     """Dictionaries from all texts; thresholds from distances under dictionaries that a text had no part in (four folds).
     ``share`` is the toxic share of the labels, to which scores are calibrated whatever the sample's is."""
     toxic = np.asarray(toxic, bool)
@@ -156,10 +155,10 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float, window: int = 16, s
     for k in range(4):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(rest):
-            part = train_dictionaries([texts[i] for i in rest], toxic[rest], window, sample_windows=sample_windows)
+            part = train_dictionaries([texts[i] for i in rest], toxic[rest], window)
             for i in own:
                 x[i] = part.features(texts[i])
-    model = train_dictionaries(texts, toxic, window, sample_windows=sample_windows)
+    model = train_dictionaries(texts, toxic, window)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     here = toxic.mean()
     weight = np.where(toxic, share / here, (1 - share) / (1 - here))
@@ -167,44 +166,39 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float, window: int = 16, s
     return model
 
 
-def _spread(size: int):
-    """Cuts texts beyond ``size`` to evenly spaced slices of 1 KB; for the training sample only."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 1000, sample_bytes: int = 24 << 20) -> Model:
+    """Fit on at most ``sample_docs`` toxic and three times as many other labelled documents, in the order of a hash of
+    the id, and of these on as many as have ``sample_bytes`` of text together (a third of it toxic); texts are used whole.
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for t in common.utf8(b.column(1)):
-                t = t or b""
-                if len(t) > size:
-                    starts = np.linspace(0, len(t) - 1024, size // 1024).astype(int)
-                    t = b" ".join(t[s : s + 1024] for s in starts)
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(2)], names=["doc_id", "raw", "y"])
-
-    return run
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 1500, doc_bytes: int = 16 << 10, window: int = 16, sample_windows: int = 40_000) -> Model:
-    """Fit on about ``sample_docs`` toxic and three times as many other documents at most, chosen by a hash of the id, and
-    of each ``doc_bytes`` at most. The ordinary dictionary is trained on ``sample_windows`` of the 64-byte windows of the others' texts at most,
-    chosen at random. Labels that are null or without a document are ignored; of repeated labels of an id the largest counts."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
+    Labels that are null or without a document are ignored, as are null ids; of repeated labels of an id the largest
+    counts, and so does each row of a repeated id. A labelled text longer than its share of ``sample_bytes`` is left out
+    of the sample. Null and empty texts teach nothing. Without labels of both kinds (or an empty table) scores are constant.
+    """
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg((F.max("y") > 0).alias("y"))
     known = common.materialize(known, "toxicity-labels")
-    sizes = {int(r.y > 0): r["n"] for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
+    sizes = {r.y: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
-    some = None
+    some, most = None, {}
     for y in sizes:
-        most = sample_docs if y else 3 * sample_docs
-        part = known.filter((F.col("y") > 0).cast("int") == y).filter(place < math.ceil((1 << 20) * min(1, most / sizes[y]))).limit(2 * most)
+        most[y] = sample_docs if y else 3 * sample_docs
+        part = known.filter(F.col("y") == y).filter(place < math.ceil((1 << 20) * min(1, 1.2 * most[y] / sizes[y]))).withColumn("place", F.xxhash64("doc_id", F.lit(12))).orderBy("place", "doc_id").limit(most[y])
         some = part if some is None else some.unionByName(part)
-    rows = []
+    chosen = []
     if some is not None:
-        kind = docs.schema[id_col].dataType.simpleString()
-        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "doc_id")
-        rows = texts.mapInArrow(_spread(doc_bytes), f"doc_id {kind}, raw binary, y int").collect()
-        rows.sort(key=lambda r: r.doc_id)
-    return fit([bytes(r.raw) for r in rows], np.array([r.y > 0 for r in rows], bool), sizes.get(1, 0) / total if total else 0.5, window, sample_windows)
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") > 0)
+        texts = common.materialize(texts.join(F.broadcast(some), "doc_id"), "toxicity-sample")
+        for y in sizes:
+            room = sample_bytes // 3 if y else 2 * sample_bytes // 3
+            rows = texts.filter((F.col("y") == y) & (F.octet_length("text") <= room)).select("doc_id", "place", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
+            rows = rows.orderBy("place", "doc_id", "h").limit(2 * most[y]).collect()
+            fits = np.cumsum([r["size"] for r in rows]) <= room
+            last = int(fits.sum())
+            if last:
+                chosen += texts.filter((F.col("y") == y) & (F.octet_length("text") <= room)).orderBy("place", "doc_id", F.xxhash64("text")).limit(last).collect()
+        common.release(texts)
+    common.release(known)
+    total = sum(sizes.values())
+    return fit([r.text.encode() for r in chosen], np.array([r.y for r in chosen], bool), sizes.get(True, 0) / total if total else 0.5)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

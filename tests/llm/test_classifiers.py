@@ -81,12 +81,3 @@ def test_tally_merges():
         tally.add([b"%d" % (i % 11) for i in range(k * 5)])
     tally.add([])
     assert tally.result() == (11, sum(i % 11 == 0 for k in range(7) for i in range(k * 5))) and quality._Tally().result() == (0, 0)
-
-
-def test_sample_windows_is_a_parameter():
-    rng = np.random.default_rng(4)
-    parts = [a + b + c for a in ("ta", "lo", "mi", "re") for b in ("ne", "so", "ku") for c in ("th", "ra", "li")]
-    texts = [" ".join(rng.choice(parts, 400)).encode() for _ in range(80)]
-    toxic = np.arange(80) % 4 == 0
-    few, all_ = (toxicity.train_dictionaries(texts, toxic, sample_windows=n) for n in (500, 10**9))
-    assert vars(few) != vars(all_)
