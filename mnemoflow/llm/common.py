@@ -110,6 +110,14 @@ def read_block(path: str, root: str) -> pa.Table:
         return pq.read_table(f)
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str], list[str]]:
+    """``docs`` with its columns called c0, c1, ..., which no working column clashes with; the old names in order; and what
+    ``names`` are called now."""
+    old = docs.columns
+    low = [c.lower() for c in old]
+    return docs.toDF(*(f"c{i}" for i in range(len(old)))), old, [f"c{low.index(n.lower())}" for n in names]
+
+
 def rows_batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     kinds = to_arrow_schema(schema)
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)

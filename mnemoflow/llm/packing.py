@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .tokens import Encoder
@@ -214,10 +215,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end: int = 0, id_c
     doc_tokens, ids (little-endian, 2 bytes an id if the vocabulary allows, else 4), ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows that repeat are documents of their own. A sequence holds at most
-    ``window`` ids, gapless from offset 0. An empty table gives no pieces; other columns are ignored.
+    ``window`` ids, gapless from offset 0. Whole windows of a long document are sequences of their own; retrieval packs
+    what is left of each, shorter than a window. An empty table gives no pieces; other columns are ignored, ids may be of
+    any type and null; a text must fit a task's memory some ten times over.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
     encoder = Encoder(tokenizer)
     if not 0 < window < 1 << 30:
         raise ValueError("the window must be positive")

@@ -57,9 +57,10 @@ def shuffled(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
     Shard sizes differ by one row at most, so shards may be empty where there are fewer rows than shards. Null ids and
     texts, repeated rows and ties are rows like any other. Should one id hold so many rows that its bucket outgrows
     the rest eightfold, that bucket's rows are scattered by their place in the input instead. Columns of the input
-    named shard or slot are replaced; an empty table gives no rows.
+    named shard or slot are replaced, others may have any name; an empty table gives no rows. A bucket must fit a task's
+    memory, so a text may be as long as that allows.
     """
-    docs = docs.drop("shard", "slot")
+    docs, names, (id_col, text_col) = common.numbered(docs.drop("shard", "slot"), id_col, text_col)
     place = F.lit(None).cast("long")
     n, volume = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
     buckets = max(1, -(-((volume or 0) + 32 * n) // bucket_bytes))
@@ -81,7 +82,7 @@ def shuffled(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
         rows = rows.drop("_place")
         docs = docs.drop("_place")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", shard int, slot long"
-    return rows.mapInArrow(_shuffle_bucket(plan, seed), kind)
+    return rows.mapInArrow(_shuffle_bucket(plan, seed), kind).toDF(*names, "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,6 @@ from . import common
 from .components import connected_components, forest
 
 BITS = 64
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
@@ -55,12 +54,18 @@ def fingerprint(raw: bytes | None, seed: int = 42) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(x) for x in common.utf8(b.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps)], schema=_FP)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+
+
+def _id(docs: DataFrame, id_col: str) -> Column:
+    """The id, whole numbers as long; ids of other types are compared as they are."""
+    return F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.col(id_col)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row; fp is the fingerprint's bits as a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    rows = docs.select(_id(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def trie_pairs(v: np.ndarray, roots: np.ndarray, budget: int, leaf: int = 256, width: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -241,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (smallest doc_id reachable over links), group_size (rows of the component).
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows are documents of their own. A null
-    doc_id takes part; it never names a component unless all its ids are null. An empty table gives an empty result.
+    doc_id takes part; it never names a component unless all its ids are null. Ids may be of any type that has an order. An empty table gives an empty result.
     Other columns are ignored.
     """
     out = _grouped(docs, id_col, text_col, **options)
@@ -264,12 +269,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay when each group of near duplicates keeps the one with the smallest id; of rows
     that repeat that id in the group, one with the least fingerprint stays. A group with null ids only keeps one of its rows with a null id.
 
-    An id that the table has once names its row. Rows of other ids are told apart by their fingerprints, which are made again for them alone.
+    Columns may have any names, ids any type that has an order; null and empty texts are near duplicates of each other.
+    An empty table gives no rows. An id that the table has once names its row. Rows of other ids are told apart by their fingerprints, which are made again for them alone.
     """
+    docs, names, (id_col, text_col) = common.numbered(docs, id_col, text_col)
     named = F.col("doc_id").eqNullSafe(F.col("component_id"))
     found = common.materialize(_grouped(docs, id_col, text_col, **options).select("doc_id", "root", F.when(named, F.col("fp")).alias("fp"), named.alias("named")), "simhash-found")
     ids = common.materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("named").alias("named")).filter("named"), "simhash-kept")
-    key = F.col(id_col).cast("long")
+    key = _id(docs, id_col)
 
     def having(which: DataFrame) -> DataFrame:
         return docs.join(which.select(F.col("doc_id").alias("_kept")).hint("merge"), key == F.col("_kept"), "left_semi")
@@ -277,11 +284,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = having(ids.filter("rows = 1 and doc_id is not null"))
     again = ids.filter("rows > 1 or doc_id is null")
     if again.isEmpty():
-        return once
+        return once.toDF(*names)
     least = found.filter("named").groupBy("root").agg(F.min("doc_id").alias("_kept"), F.min("fp").alias("_least"))
     rows = having(again)
     if not again.filter("doc_id is null").isEmpty():
         rows = rows.unionByName(docs.filter(key.isNull()))
     rows = _with_fingerprint(rows, text_col).withColumn("_id", key).dropDuplicates(["_id", "_fp"])
     rows = rows.join(least.hint("merge"), F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_least")), "left_semi")
-    return once.unionByName(rows.select(docs.columns))
+    return once.unionByName(rows.select(docs.columns)).toDF(*names)

@@ -28,6 +28,7 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .suffix_array import equal_prefixes, suffix_array
@@ -393,6 +394,7 @@ def _apply(segments: int, length: int, columns: list[str], id_col: str, text_col
                 s = slice(where[i], where[i + 1])
                 marks[i].append((a[s], z[s]))
         removed, spans, shas, kept = [], [], [], []
+        null = block.table.column(text_col).is_null().to_pylist()
         for i, raw in enumerate(block.raw):
             if i in block.copies and len(raw) >= length:
                 gone = np.ones(len(raw), bool)
@@ -412,6 +414,8 @@ def _apply(segments: int, length: int, columns: list[str], id_col: str, text_col
             spans.append(m)
             if mode == "report":
                 shas.append(hashlib.sha256(rest).hexdigest())
+            elif null[i]:
+                kept.append(None)
             else:
                 kept.append(rest if mode == "bytes" else rest.decode("utf-8", "ignore"))
         t = block.table
@@ -435,14 +439,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are their UTF-8 bytes, a null text is empty, strings never cross documents and are judged on the input. Returns
     one row per row: with mode ``report`` doc_id, n_bytes, n_removed, n_spans (maximal runs), kept_sha256; with mode
     ``bytes`` the columns of ``docs``, the text as its remaining bytes (binary, as a cut may split a character), n_bytes,
-    n_removed and n_spans; with mode ``text`` the same, but the text as a string without the bytes of split characters. Rows of one id do not affect each other, repeated or not; a null id comes after all others.
-    An empty table gives no rows.
+    n_removed and n_spans, a null text staying null; with mode ``text`` the same, but the text as a string without the bytes of split characters. Rows of one id do not affect each other, repeated or not; a null id comes after all others.
+    An empty table gives no rows. Ids must be whole numbers. Columns may have any names, but those of the counts are replaced.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must hold whole numbers")
     if length < 2 * GRAM or length > 4096:
         raise ValueError(f"length must be {2 * GRAM} to 4096")
     spark = docs.sparkSession
     if mode == "report":
         docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
+    else:
+        docs = docs.drop("n_bytes", "n_removed", "n_spans")
     root = common.scratch_path(spark, "repeats-blocks")
     fs, base = pa.fs.FileSystem.from_uri(root)
     fs.create_dir(base)
