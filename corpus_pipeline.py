@@ -1,5 +1,9 @@
 """A cleaning pipeline over ``documents``: toxic documents go, near duplicates go, repeated passages are cut, benchmark
-leaks go, and what is left is packed into training sequences. Each stage works on all its predecessor kept."""
+leaks go, and what is left is packed into training sequences. Each stage works on all its predecessor kept.
+
+Every stage takes null and empty texts (empty ones are neither toxic by themselves nor hold a passage; as near duplicates
+they are one group), null ids, repeated rows and further columns of any name, and gives no rows for an empty table. A text
+must fit a task's memory some ten times over. ``doc_id`` must be a whole number."""
 
 from __future__ import annotations
 
@@ -22,9 +26,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: bytes of 50-byte strings that an earlier document holds are cut; a document of which nothing is left goes."""
-    left = substring_dedup.remove_repeats(docs, mode="text").filter("n_removed = 0 or n_removed < n_bytes")
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Operator 8: bytes of 50-byte strings that an earlier document holds are cut; a document of which nothing is left
+    goes. ``n_chars`` follows the text where it was cut."""
+    own, names, (key, text) = common.numbered(docs, "doc_id", "text")
+    left = substring_dedup.remove_repeats(own, key, text, mode="text").filter("n_removed = 0 or n_removed < n_bytes")
+    if "n_chars" in names:
+        chars = f"c{names.index('n_chars')}"
+        left = left.withColumn(chars, F.when(F.col("n_removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(chars)))
+    return left.select(own.columns).toDF(*names)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
