@@ -1,4 +1,4 @@
-"""python -m mnemoflow --db DIR (ingest FILE | query TEXT [-k N] | stats | forget SESSION | serve | hook SPOOL TRANSCRIPT SESSION | drain SPOOL)"""
+"""python -m mnemoflow --db DIR (ingest FILE | query TEXT [-k N] | stats | forget SESSION | serve [SPOOL] | hook SPOOL TRANSCRIPT SESSION | drain SPOOL)"""
 
 from __future__ import annotations
 
@@ -41,15 +41,12 @@ def main(args: list[str] | None = None) -> None:
         spool, transcript, session = a.what
         write_event(read_transcripts(spark, transcript).withColumn("session_id", F.lit(session)), spool)
     elif a.verb == "drain":
-        from .schema import SPOOL
-
-        rows = spark.read.schema(SPOOL).option("mode", "DROPMALFORMED").json(a.what[0])
-        rows = rows.withColumnRenamed("uuid", "source_uuid").withColumn("_o", F.monotonically_increasing_id())
-        print(engine.ingest(rows, "_o"))
+        print(engine.drain(a.what[0]))
     else:
         from .rpc import serve
 
-        for reply in serve(engine, sys.stdin):
+        before = (lambda: engine.drain(a.what[0])) if a.what else None
+        for reply in serve(engine, sys.stdin, before):
             print(reply, flush=True)
 
 

@@ -12,6 +12,7 @@ from .errors import InvalidInput
 from .operators import calibration, ingest
 from .operators.profile import profiles
 from .plans.recall import Index, Recall
+from .schema import SPOOL
 from .sources.bindings import with_session_turn
 from .storage import dense_index
 
@@ -59,6 +60,8 @@ class MemoryEngine:
         last = self.stored.agg(F.max("id")).first()[0] or 0
         new = dense_index(ingest.new_turns(rows, self.stored, order), order, out="_n")
         n = new.count()
+        if not n:
+            return 0
         new.select((F.col("_n") + last + 1).alias("id"), "session_id", "speaker", "text", "ts", "source_uuid", _bucket().alias("bucket")).write.mode("append").parquet(f"{self.path}/turns")
         self._changed()
         return n
@@ -69,6 +72,16 @@ class MemoryEngine:
         row = self.spark.createDataFrame([(0, session_id, speaker, text, ts, source_uuid)], "_o long, session_id string, speaker string, text string, ts long, source_uuid string")
         return self.ingest(row, "_o")
 
+    def drain(self, spool: str) -> int:
+        """Ingest the spool's files in the order of their names; what is stored already adds nothing. Returns how many turns were new."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(spool)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return 0
+        rows = self.spark.read.schema(SPOOL).option("mode", "DROPMALFORMED").json(spool)
+        place = F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id())
+        rows = rows.select("session_id", F.coalesce("speaker", F.lit("user")).alias("speaker"), "text", F.coalesce("ts", F.lit(0)).alias("ts"), F.col("uuid").alias("source_uuid"), place.alias("_o"))
+        return self.ingest(rows.filter("session_id is not null and text is not null"), "_o")
+
     def delete_session(self, session_id: str) -> int:
         """Forget a session's turns so far; returns how many there were."""
         n = self.turns.filter(F.col("session_id") == session_id).count()

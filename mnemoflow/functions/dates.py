@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .wordlists import MONTHS
+
 DAY = 86400
-_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_MONTHS = [m[:3].lower() for m in MONTHS]
 _ORDINAL = "(?:st|nd|rd|th)?"
 
 

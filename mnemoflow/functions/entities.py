@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SENTENCE_STARTERS, STOPWORDS, canon, sentences, strip, words
+from .text import canon, sentences, strip, words
+from .wordlists import MONTHS, NAME_LINKS, SENTENCE_STARTERS, SHORT_MONTHS, STOPWORDS
 
-MONTHS = "Dec|Nov|Oct|Sept|Sep|Aug|Jul|Jun|Apr|Mar|Feb|Jan|December|November|October|September|August|July|June|May|April|March|February|January"
-_FULL_MONTHS = "|".join(sorted(MONTHS.split("|"), key=len, reverse=True))
+_FULL_MONTHS = "|".join(sorted(MONTHS + SHORT_MONTHS, key=len, reverse=True))
 URL = r"(?U)https?://\S+"
 EMAIL = r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+"
 ISO_DATE = r"(?U)\b\d{4}-\d{2}-\d{2}\b"
@@ -21,7 +21,7 @@ QUOTE = r"\x22([^\x22]{2,120})\x22"
 _CODE_LIKE = r"^-|&&|\$\(|`|\{|\}|\\|--"
 _ALNUM = r"\p{IsAlphabetic}\p{N}"
 _CAP = rf"\p{{Lu}}[{_ALNUM}'.\-]*"
-_LINKS = "le|la|von|van|di|da|de|and|the|of"
+_LINKS = "|".join(NAME_LINKS)
 _SPAN = rf"(\x01? {_CAP} (?: {_CAP} | (?:{_LINKS})  {_CAP} )*)"
 KINDS = ("Named", "Date", "Number", "Quote", "Url", "Email")
 _TYPE = "array<struct<display:string,canon:string,kind:string>>"

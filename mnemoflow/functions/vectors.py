@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
+from .wordlists import STOPWORDS
 
 _MASK = (1 << 64) - 1
 
@@ -57,7 +58,7 @@ def _cells(token: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([h % dim for h, _ in hashed]), np.array([-w if h >> 32 & 1 else w for h, w in hashed])
 
 
-_STOP = frozenset(T.STOPWORDS)
+_STOP = frozenset(STOPWORDS)
 
 
 def hash_vector(tokens, dim: int) -> np.ndarray:

@@ -18,9 +18,13 @@ def admissible(selected: DataFrame, turns: DataFrame, profiles: DataFrame, posit
 
 
 def superseded(valued: DataFrame) -> DataFrame:
-    """Rows (query_id, idx) of ``valued`` (query_id, idx, ts, vals) with a later one of the query whose values are all different."""
-    later = valued.select("query_id", F.col("ts").alias("ts2"), F.col("vals").alias("vals2"))
-    return valued.join(later, (valued.query_id == later.query_id) & (F.col("ts2") > F.col("ts")) & ~F.arrays_overlap("vals", "vals2"), "left_semi").select("query_id", "idx")
+    """Rows (query_id, idx) of ``valued`` (query_id, idx, ts, vals) with a later one of the query whose values are all
+    different. Only the distinct sets of values of a query meet, each with its latest time, however many rows have it."""
+    rows = valued.select("query_id", "idx", "ts", F.array_sort(F.array_distinct("vals")).alias("own"))
+    sets = rows.groupBy("query_id", "own").agg(F.max("ts").alias("last"))
+    others = sets.select("query_id", F.col("own").alias("other"), F.col("last").alias("until"))
+    until = sets.join(others, "query_id").filter(~F.arrays_overlap("own", "other")).groupBy("query_id", "own").agg(F.max("until").alias("until"))
+    return rows.join(until, ["query_id", "own"]).filter("ts < until").select("query_id", "idx")
 
 
 def calibrate(selected: DataFrame, turns: DataFrame, profiles: DataFrame, positions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

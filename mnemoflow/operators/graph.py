@@ -96,8 +96,9 @@ def reset_vector(act: DataFrame, sims: DataFrame) -> DataFrame:
 
 
 def pagerank(reset: DataFrame, trans: DataFrame, cfg: Config = DEFAULT, cut_every: int = 5) -> DataFrame:
-    """(query_id, node, mass) after a fixed number of steps, all queries at once; the lineage is cut in the shared folder every few steps."""
-    reset, trans = written(reset, "reset"), written(trans, "transitions")
+    """(query_id, node, mass) after a fixed number of steps, all queries at once; the lineage is cut in the shared folder
+    every few steps. ``trans`` is read in every step and should be a written table."""
+    reset = written(reset, "reset")
     back = reset.select("query_id", "node", (F.col("r") * (1 - cfg.follow)).alias("m"))
     pi = reset.select("query_id", "node", F.col("r").alias("m"))
     for k in range(cfg.pagerank_steps):

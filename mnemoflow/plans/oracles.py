@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..config import DEFAULT
-from ..functions.text import ANAPHORA, SENTENCE_STARTERS, STOPWORDS
+from ..functions.wordlists import ANAPHORA, SENTENCE_STARTERS, STOPWORDS
 from .queries import ANSWERS, DATES, QUESTIONS, STAMPS
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -139,6 +139,41 @@ cent AS (SELECT window_start, segment, pos, avg(CAST(x AS DOUBLE)) AS x FROM (SE
 _MASK = "[^\\pL\\pN_]"
 _MON = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Sept|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 
+_OUT = "STRUCT(idx BIGINT, score DOUBLE, role VARCHAR, anchor BIGINT)[]"
+BEST_BM25 = "m AS (SELECT * FROM (SELECT query_id, idx AS anchor, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, idx) AS r FROM bm) WHERE r <= 5)"
+# From m (query_id, r, anchor, score), turns, edges and ents: mains in turn take their best bridge and neighbours not yet taken.
+CLOSE = f"""rad AS (SELECT *, CASE WHEN strlen(text) < 48 OR list_contains({_list(ANAPHORA)}, lower(regexp_extract(text, '\\S+'))) THEN 2 ELSE 1 END AS radius FROM turns),
+c1 AS (SELECT query_id, anchor, d.idx, least(a.w_turn, d.w_turn) AS s, eid FROM m JOIN edges a ON a.idx = m.anchor JOIN edges d ON d.canon = a.canon AND d.idx <> m.anchor JOIN ents e ON e.canon = a.canon),
+c2 AS (SELECT query_id, anchor, idx, max(s) AS s, arg_max(eid, (s, -eid)) AS eid FROM c1 GROUP BY 1, 2, 3),
+bl AS (SELECT query_id, anchor, list(idx ORDER BY round(s, 12) DESC, eid, idx) AS bs FROM c2 GROUP BY 1, 2),
+nb AS (SELECT a.idx AS anchor, list(b.idx ORDER BY b.idx) AS ns FROM rad a JOIN turns b ON a.session_id = b.session_id AND a.idx <> b.idx AND abs(a.idx - b.idx) <= radius GROUP BY 1),
+mm AS (SELECT m.*, coalesce(bs, []) AS bs, coalesce(ns, []) AS ns FROM m LEFT JOIN bl USING (query_id, anchor) LEFT JOIN nb USING (anchor)),
+fold AS (SELECT query_id, CAST(0 AS BIGINT) AS k, list(anchor ORDER BY r) AS seen, CAST([] AS {_OUT}) AS got FROM m GROUP BY 1
+  UNION ALL SELECT query_id, k + 1, seen || b || ns, got || list_transform(b, lambda x: {{'idx': x, 'score': score * 0.5, 'role': 'GraphBridge', 'anchor': anchor}}) || list_transform(ns, lambda x: {{'idx': x, 'score': score * 0.5, 'role': 'LocalNeighbor', 'anchor': anchor}})
+  FROM (SELECT query_id, k, seen, got, b, list_filter(ns, lambda x: NOT list_contains(seen || b, x)) AS ns, anchor, score
+    FROM (SELECT fold.*, anchor, score, ns, list_slice(list_filter(bs, lambda x: NOT list_contains(seen, x)), 1, 1) AS b FROM fold JOIN mm ON mm.query_id = fold.query_id AND mm.r = fold.k + 1))),
+closed AS (SELECT query_id, anchor AS idx, score, 'Main' AS role, anchor, r - 1 AS emit FROM m
+  UNION ALL SELECT query_id, x.idx, x.score, x.role, x.anchor, n + i - 1 FROM (SELECT query_id, n, unnest(got) AS x, generate_subscripts(got, 1) AS i FROM fold JOIN (SELECT query_id, count(*) AS n FROM m GROUP BY 1) USING (query_id) WHERE k = n))"""
+# No question of the six asks for the latest date or number, so supersession (see superseded_values) takes nothing away.
+CALIBRATE = """zp AS (SELECT session_id, row_number() OVER (ORDER BY min(idx)) - 1 AS pos, count(*) OVER () AS n FROM turns GROUP BY 1),
+ad AS (SELECT closed.* FROM closed JOIN turns USING (idx) JOIN zp USING (session_id) JOIN pr USING (query_id) WHERE boundary IS NULL OR CASE WHEN boundary = -1 THEN pos = n - 1 ELSE pos = boundary END),
+ma AS (SELECT query_id, idx, score, role, m_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, idx) AS m_rank FROM ad WHERE role = 'Main') WHERE m_rank <= 5),
+su AS (SELECT * FROM (SELECT ad.query_id, ad.idx, ad.score, ad.role, m_rank, row_number() OVER (PARTITION BY ad.query_id, ad.anchor ORDER BY CASE ad.role WHEN 'GraphBridge' THEN 1 ELSE 2 END, abs(ad.idx - ad.anchor), emit) AS s_rank
+  FROM ad JOIN ma ON ma.query_id = ad.query_id AND ma.idx = ad.anchor WHERE ad.role <> 'Main' AND NOT EXISTS (SELECT 1 FROM ma o WHERE o.query_id = ad.query_id AND o.idx = ad.idx)) WHERE s_rank <= 2),
+it AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m_rank, s_rank) AS i FROM (SELECT *, 0 AS s_rank FROM ma UNION ALL SELECT * FROM su)),
+pick AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS seen, CAST([] AS STRUCT(idx BIGINT, score DOUBLE, role VARCHAR)[]) AS got FROM it
+  UNION ALL SELECT query_id, i, CASE WHEN ok THEN seen || [idx] ELSE seen END, CASE WHEN ok THEN got || [{'idx': idx, 'score': score, 'role': role}] ELSE got END
+  FROM (SELECT it.*, seen, got, s_rank = 0 OR (len(got) < 10 AND NOT list_contains(seen, it.idx)) AS ok FROM pick JOIN it ON it.query_id = pick.query_id AND it.i = pick.i + 1)),
+ev AS (SELECT query_id, CAST(k AS INTEGER) AS rank, x.idx AS idx, x.score AS score, x.role AS role FROM (SELECT query_id, unnest(got) AS x, generate_subscripts(got, 1) AS k FROM pick JOIN (SELECT query_id, max(i) AS i FROM it GROUP BY 1) USING (query_id, i)))"""
+GRAPH = "gs AS (SELECT query_id, idx, mass * (1 + 0.25 * len(list_filter(phrases, lambda p: p <> '' AND contains(lower(text), p)))) AS score FROM rk JOIN turns USING (idx) JOIN pr USING (query_id) WHERE mass > 0)"
+FUSED = f"""{GRAPH},
+hs AS (WITH {TURNS}, {QS}, {BASE}, {HIER} SELECT query_id, idx, score FROM hier WHERE score > 0),
+fv AS (SELECT query_id, idx, 'g' AS view, score FROM gs UNION ALL SELECT query_id, idx, 'h', score FROM hs),
+fs AS (SELECT query_id, idx, view, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM fv WINDOW w AS (PARTITION BY query_id, view)),
+ff AS (SELECT query_id, idx, sum(x * CASE view WHEN 'g' THEN w_graph ELSE 1 - w_graph END) AS score FROM fs JOIN pr USING (query_id) GROUP BY 1, 2),
+m AS (SELECT * FROM (SELECT query_id, idx AS anchor, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, idx) AS r FROM ff) WHERE r <= 5)"""
+_CLOSED = "SELECT query_id, idx, round(score, 6) AS score, role, anchor, CAST(emit AS INTEGER) AS emit FROM closed"
+
 ORACLES: dict[str, str] = {
     "ingest_session_ordinals": f"WITH {TURNS} SELECT idx, id, session_id, session_turn, speaker, ts, source_uuid FROM turns",
     "ingest_dedup_uuid": f"WITH {EVENTS} SELECT DISTINCT source_uuid, session_id, speaker, ts FROM turns WHERE speaker <> 'purchase'",
@@ -211,6 +246,12 @@ m AS (SELECT * FROM (SELECT query_id, idx AS anchor, row_number() OVER (PARTITIO
 c AS (SELECT query_id, anchor, d.idx, least(a.w_turn, d.w_turn) AS s, eid FROM m JOIN edges a ON a.idx = m.anchor JOIN edges d ON d.canon = a.canon AND d.idx <> m.anchor JOIN ents e ON e.canon = a.canon),
 g AS (SELECT query_id, anchor, idx, max(s) AS s, arg_max(eid, (s, -eid)) AS eid FROM c GROUP BY 1, 2, 3)
 SELECT * FROM (SELECT query_id, anchor, idx, CAST(row_number() OVER (PARTITION BY query_id, anchor ORDER BY round(s, 12) DESC, eid, idx) AS INTEGER) AS b_rank, round(s, 6) AS strength FROM g) WHERE b_rank <= 3""",
+    "bm25_closure": f"WITH RECURSIVE {TURNS}, {QS}, {BM25}, {EDGES}, {BEST_BM25}, {CLOSE} {_CLOSED}",
+    "bm25_evidence": f"WITH RECURSIVE {TURNS}, {QS}, {BM25}, {EDGES}, {PROFILE}, {BEST_BM25}, {CLOSE}, {CALIBRATE} SELECT query_id, rank, idx, round(score, 6) AS score, role FROM ev",
+    "graph_scores": f"WITH RECURSIVE {RANK}, {TURNS}, {PROFILE}, {GRAPH} SELECT query_id, idx, round(score, 6) AS score FROM gs WHERE score > 1e-6",
+    "evidence_closure": f"WITH RECURSIVE {RANK}, {TURNS}, {PROFILE}, {EDGES}, {FUSED}, {CLOSE} {_CLOSED}",
+    "recall": f"""WITH RECURSIVE {RANK}, {TURNS}, {PROFILE}, {EDGES}, {FUSED}, {CLOSE}, {CALIBRATE}
+SELECT query_id, CASE WHEN w_graph > 0.5 THEN 'Relational' ELSE 'Local' END AS route, rank, id AS turn_id, session_id, session_turn, speaker, text, ts, round(score, 6) AS score, role FROM ev JOIN turns USING (idx) JOIN pr USING (query_id)""",
     "superseded_values": f"WITH {EVENTS}, v AS (SELECT session_id || '/' || speaker AS query_id, idx, ts, regexp_extract(text, '(\\d+)', 1) AS x FROM turns) SELECT query_id, idx FROM v a WHERE EXISTS (SELECT 1 FROM v b WHERE a.query_id = b.query_id AND b.ts > a.ts AND b.x <> a.x)",
     "answer_calibration": "SELECT * FROM (VALUES (1, 'february 14, 2022', true, true, 'february 14, 2022'), (2, 'three cats', false, true, '12'), (3, 'red, blue', true, true, 'the red'), (4, 'maria lopez', true, true, 'maria lopez'), (5, 'nobody', false, false, 'john smith|maria lopez'), (6, '42', true, true, '42')) v(query_id, calibrated, changed, supported, candidates)",
     "transcript_turns": "SELECT * FROM (VALUES ('user', 'hello there', 1706695200::BIGINT, 'a'), ('assistant', E'one\\n\\ntwo', 0, 'b'), ('user', '[1] bracketed prose', 0, 'g')) v(speaker, text, ts, uuid)",

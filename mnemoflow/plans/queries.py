@@ -324,6 +324,32 @@ def evidence_closure(spark, sf_dir):
     return recall_of(spark, sf_dir).closed.select("query_id", "idx", F.round("score", 6).alias("score"), "role", "anchor", "emit")
 
 
+def _bm25_mains(r: Recall) -> DataFrame:
+    return lexical.top_turns(r.bm25, 5)
+
+
+@query
+def bm25_closure(spark, sf_dir):
+    """Closure with the best BM25 turns as mains, which SQL can follow step by step."""
+    r = recall_of(spark, sf_dir)
+    return closure.close(_bm25_mains(r), r.index.turns, r.index.edges).select("query_id", "idx", F.round("score", 6).alias("score"), "role", "anchor", "emit")
+
+
+@query
+def bm25_evidence(spark, sf_dir):
+    """Calibration of that closure: sessions that the question names, supersession, two supports a main, the budget."""
+    r = recall_of(spark, sf_dir)
+    i = r.index
+    closed = written(closure.close(_bm25_mains(r), i.turns, i.edges), "bm25-closed")
+    return calibration.calibrate(closed, i.turns, r.profiles, i.positions).select("query_id", "rank", "idx", F.round("score", 6).alias("score"), "role")
+
+
+@query
+def graph_scores(spark, sf_dir):
+    """Turns' PageRank mass with a quarter more for each phrase of the question that they hold."""
+    return recall_of(spark, sf_dir).graph_scores.filter("score > 1e-6").select("query_id", "idx", F.round("score", 6).alias("score"))
+
+
 @query
 def recall(spark, sf_dir):
     return recall_of(spark, sf_dir).evidence().withColumn("score", F.round("score", 6))

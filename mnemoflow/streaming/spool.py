@@ -25,21 +25,22 @@ def drain(spark: SparkSession, spool: str, store: str, checkpoint: str, tombston
 
     A batch that is repeated after a failure finds its uuids stored and adds nothing; malformed lines and empty texts are
     skipped; turns of forgotten sessions are dropped. A uuid is stored once in the whole store, under whichever session it
-    came first, so a batch reads the column of uuids of all session buckets.
+    came first in the order of file names and lines, so a batch reads the column of uuids of all session buckets.
     """
     bucket = F.pmod(F.xxhash64("session_id"), F.lit(64)).cast("int")
 
     def append(batch: DataFrame, _: int) -> None:
         rows = batch.filter("session_id is not null and text is not null").filter(has_text(F.col("text")))
-        rows = rows.select("session_id", F.coalesce("speaker", F.lit("user")).alias("speaker"), "text", F.coalesce("ts", F.lit(0)).alias("ts"), F.col("uuid").alias("source_uuid"), bucket.alias("bucket"))
+        place = F.struct("file_name", "file_block_start", F.monotonically_increasing_id().alias("line")).alias("_n")
+        rows = rows.select("session_id", F.coalesce("speaker", F.lit("user")).alias("speaker"), "text", F.coalesce("ts", F.lit(0)).alias("ts"), F.col("uuid").alias("source_uuid"), bucket.alias("bucket"), place)
         if tombstones is not None:
             rows = rows.join(tombstones.select("session_id").distinct(), "session_id", "left_anti")
-        rows = rows.withColumn("_n", F.monotonically_increasing_id())
         stored = spark.read.schema(STORED + ", bucket int").parquet(store).select("source_uuid").join(rows.select("source_uuid"), "source_uuid", "left_semi")
         new_turns(rows, stored, "_n").drop("_n").write.mode("append").partitionBy("bucket").parquet(store)
 
     spark.createDataFrame([], STORED + ", bucket int").write.mode("append").partitionBy("bucket").parquet(store)
     lines = spark.readStream.schema(SPOOL).option("mode", "DROPMALFORMED").json(spool)
+    lines = lines.select("*", "_metadata.file_name", "_metadata.file_block_start")
     return lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 

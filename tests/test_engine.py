@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from mnemoflow.errors import InvalidInput
 from mnemoflow.functions import text as T
 from mnemoflow.functions.entities import with_entities
 from mnemoflow.functions.vectors import fnv1a, fnv1a_py, hash_vector
-from mnemoflow.operators import fusion, graph, hierarchy
+from mnemoflow.operators import calibration, fusion, graph, hierarchy
 from mnemoflow.operators.profile import profiles
 from mnemoflow.sources.tail import complete_end
 from mnemoflow.storage import dense_index
@@ -195,7 +196,9 @@ def test_rpc_protocol():
     assert rpc.answer(None, '{"id":1,"method":"nope"}')["error"]["code"] == -32601
     assert len(rpc.answer(None, '{"id":1,"method":"tools/list"}')["result"]["tools"]) == 3
     assert rpc.answer(None, '{"id":1,"method":"tools/call","params":{"name":"x"}}')["result"]["isError"]
-    assert rpc.answer(None, "{")["error"]["code"] == -32700
+    assert all(rpc.answer(None, x) is None for x in ("{", "5", "null", '"id"', "[1]"))
+    missing = rpc.answer(None, '{"id":1,"method":"tools/call","params":{"name":"recall","arguments":[1]}}')["result"]
+    assert missing["isError"] and "query" in missing["content"][0]["text"]
 
 
 def test_a_uuid_is_stored_once_in_all_sessions(spark, tmp_path):
@@ -207,3 +210,54 @@ def test_a_uuid_is_stored_once_in_all_sessions(spark, tmp_path):
         drain(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/checkpoint").awaitTermination()
         got = sorted((r.session_id, r.text) for r in spark.read.parquet(f"{tmp_path}/store").collect())
         assert got == [("s1", "first"), ("s1", "no id")] + [("s9", "new"), ("s9", "no id")] * k
+
+
+def test_turn_lines(spark, tmp_path):
+    from mnemoflow.sources.jsonl import read_turn_lines
+
+    f = tmp_path / "turns.jsonl"
+    f.write_text('{"session_id":"s1","text":"one"}\n\n{"session_id":"s1","speaker":"bot","text":"two","ts":77}\n{"session_id":"s2","text":"three"}\n')
+    got = [(r.line, r.session_id, r.speaker, r.text, r.ts) for r in read_turn_lines(spark, str(f)).orderBy("line").collect()]
+    assert got == [(0, "s1", "user", "one", 0), (1, "s1", "bot", "two", 77), (2, "s2", "user", "three", 2)]
+    f.write_text('{"session_id":"s1","text":"one"}\n{"session_id":"s1"}\n')
+    with pytest.raises(InvalidInput):
+        read_turn_lines(spark, str(f))
+    f.write_text("".join(json.dumps({"session_id": "s", "text": f"line {i}"}) + "\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert [r.text for r in read_turn_lines(spark, str(f)).orderBy("line").collect()] == [f"line {i}" for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_the_first_file_by_name_wins(spark, tmp_path):
+    from mnemoflow.streaming.spool import drain
+
+    spool = tmp_path / "in"
+    spool.mkdir()
+    for name, text in (("2-b.json", "late"), ("1-a.json", "early")):
+        (spool / name).write_text(json.dumps({"session_id": "s", "speaker": "user", "text": text, "ts": 1, "uuid": "u"}) + "\n")
+    drain(spark, str(spool), f"{tmp_path}/store", f"{tmp_path}/checkpoint").awaitTermination()
+    assert [r.text for r in spark.read.parquet(f"{tmp_path}/store").collect()] == ["early"]
+    e = MemoryEngine(spark, str(tmp_path / "db"))
+    assert e.drain(str(spool)) == 1 and e.drain(str(spool)) == 0 and e.drain(str(tmp_path / "none")) == 0
+    assert [r.text for r in e.turns.collect()] == ["early"]
+
+
+def test_serving_drains_the_spool_first(spark, tmp_path):
+    from mnemoflow.schema import SPOOL
+    from mnemoflow.streaming.spool import write_event
+
+    e = MemoryEngine(spark, str(tmp_path / "db"))
+    write_event(spark.createDataFrame([("s1", "user", "Maria Lopez moved to Lisbon.", 1, "u-1")], SPOOL), f"{tmp_path}/in")
+    line = json.dumps({"id": 1, "method": "tools/call", "params": {"name": "forget_session", "arguments": {"session_id": "s1"}}})
+    reply = json.loads(next(rpc.serve(e, ["null", line], lambda: e.drain(f"{tmp_path}/in"))))
+    assert json.loads(reply["result"]["content"][0]["text"]) == {"removed": 1}
+
+
+def test_superseded_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(3)), i, int(rng.integers(20)), [str(x) for x in rng.integers(0, 4, rng.integers(1, 4))]) for i in range(120)]
+    got = {(r.query_id, r.idx) for r in calibration.superseded(spark.createDataFrame(rows, "query_id int, idx int, ts int, vals array<string>")).collect()}
+    assert got == {(q, i) for q, i, t, v in rows if any(q == q2 and t2 > t and not set(v) & set(v2) for q2, _, t2, v2 in rows)}
