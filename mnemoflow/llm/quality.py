@@ -118,7 +118,8 @@ def statistics(raw: bytes | None) -> np.ndarray:
 
 
 def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, stats array<double>) for every row."""
+    """(doc_id, stats array<double>) for every row, over the whole of its text. Null and empty texts have zeros, repeated
+    rows are rows of their own, an empty table gives none; ids may be of any type, other columns are ignored."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

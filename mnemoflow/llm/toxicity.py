@@ -203,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row, from its text alone: between 0 and 1, higher for likelier toxic. Null and empty
-    texts have no windows and get the score that says; repeated rows are scored alike."""
+    texts have no windows and get the score that says; repeated rows are scored alike; texts of any length are read whole,
+    a megabyte of words at a time; an empty table gives no rows; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

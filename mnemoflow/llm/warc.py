@@ -136,22 +136,28 @@ def classify(pages: DataFrame, min_payload: int = 0, id_col: str = "page_id", ur
     return joined.select("page_id", "url", "html", "digest", first.alias("first"))
 
 
-def write_archives(pages: DataFrame, root: str, min_payload: int = 0, dictionary_samples: int = 1000, sample_bytes: int = 8 << 10, level: int = 3, file_bytes: int = 1 << 30, date: str = "2024-01-01T00:00:00Z", **columns) -> DataFrame:
+def write_archives(pages: DataFrame, root: str, min_payload: int = 0, dictionary_samples: int = 1000, sample_bytes: int = 16 << 20, level: int = 3, file_bytes: int = 1 << 30, date: str = "2024-01-01T00:00:00Z", **columns) -> DataFrame:
     """Write one record per row of ``pages`` (page_id, url, html) under the URI ``root``; returns the manifest (path, records, bytes).
 
     A null html is an empty payload. Of equal payloads of ``min_payload`` bytes or more the smallest page_id's record is
     the response and others revisit it; repeated rows of that page_id with that payload are responses too, and rows
     whose ids are all null are responses as there is no id to refer to. A null url leaves the field out. An empty table
-    writes no file. The dictionary is trained on about ``dictionary_samples`` records, the first ``sample_bytes`` of
-    each, chosen by hash: a bound that touches compression only.
+    writes no file; other columns are ignored. A record must fit a task's memory some three times over. The dictionary
+    is trained on about ``dictionary_samples`` whole records chosen by hash, of together ``sample_bytes`` at most (a larger
+    one is passed over): a bound on rows that touches compression only.
     """
     spark = pages.sparkSession
     rows = classify(pages, min_payload, **columns)
     n = pages.count()
     html = F.coalesce(F.col(columns.get("html_col", "html")).cast("string"), F.lit(""))
     some = pages.filter(F.pmod(F.xxhash64(F.col(columns.get("id_col", "page_id")), F.lit(5)), F.lit(max(1, n // dictionary_samples))) == 0)
-    some = some.select(html.substr(1, sample_bytes).alias("html")).limit(4 * dictionary_samples)
-    samples = [make_record(k, "https://example.org/", r.html.encode(), base32_sha1(b""), None, date) for k, r in enumerate(some.collect())]
+    some = some.select(html.alias("html")).filter(F.octet_length("html") <= sample_bytes).limit(4 * dictionary_samples)
+    samples, room = [], sample_bytes
+    for r in some.toLocalIterator():
+        record = make_record(len(samples), "https://example.org/", r.html.encode(), base32_sha1(b""), None, date)
+        if len(record) <= room:
+            samples.append(record)
+            room -= len(record)
     dictionary = spark.sparkContext.broadcast(train(samples))
     fs, base = pa.fs.FileSystem.from_uri(root)
     fs.create_dir(base)
@@ -206,7 +212,8 @@ def _read(root: str, payloads: bool):
 
 
 def read_archives(manifest: DataFrame, root: str, payloads: bool = False) -> DataFrame:
-    """Records of the archives in ``manifest``, responses checked against their digests; ``payloads`` adds the responses' payloads (revisits: null)."""
+    """Records of the archives in ``manifest``, responses checked against their digests; ``payloads`` adds the responses'
+    payloads (revisits: null). An empty manifest gives no rows; an archive that is cut short or altered is an error."""
     kind = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     files = manifest.count()
     return manifest.select("path").repartition(max(1, min(files, 10_000)), "path").mapInArrow(_read(root, payloads), kind)
