@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
+from ..storage import dense_index
 
 
 def valid(turns: DataFrame) -> DataFrame:
@@ -23,10 +24,15 @@ def new_turns(incoming: DataFrame, stored: DataFrame, order: str) -> DataFrame:
 
 
 def number_turns(new: DataFrame, stored: DataFrame, order: str) -> DataFrame:
-    """``new`` with session_turn going on from the session's largest stored one."""
+    """``new`` with session_turn going on from the session's largest stored one.
+
+    Positions come from one sorted order of all sessions, less where the session begins, so that no task gets a session whole.
+    """
     last = stored.groupBy("session_id").agg(F.max("session_turn").alias("_last"))
-    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(order))
-    return new.join(last, "session_id", "left").withColumn("session_turn", (rank + F.coalesce("_last", F.lit(-1))).cast("long")).drop("_last")
+    rows = dense_index(new, "session_id", order, out="_at")
+    first = rows.groupBy("session_id").agg(F.min("_at").alias("_first")).join(last, "session_id", "left")
+    number = F.col("_at") - F.col("_first") + F.coalesce("_last", F.lit(-1)) + 1
+    return rows.join(first, "session_id").withColumn("session_turn", number.cast("long")).drop("_at", "_first", "_last")
 
 
 def scan_after(turns: DataFrame, mark: int) -> DataFrame:
