@@ -27,13 +27,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: bytes of 50-byte strings that an earlier document holds are cut; a document of which nothing is left
-    goes. ``n_chars`` follows the text where it was cut."""
+    goes, a null text stays null. ``n_chars`` follows the text where it was cut."""
     own, names, (key, text) = common.numbered(docs, "doc_id", "text")
+    own = own.withColumn("was_null", F.col(text).isNull())
     left = substring_dedup.remove_repeats(own, key, text, mode="text").filter("n_removed = 0 or n_removed < n_bytes")
+    left = left.withColumn(text, F.when(~F.col("was_null"), F.col(text)))
     if "n_chars" in names:
         chars = f"c{names.index('n_chars')}"
         left = left.withColumn(chars, F.when(F.col("n_removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(chars)))
-    return left.select(own.columns).toDF(*names)
+    return left.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
