@@ -18,6 +18,7 @@ A passage or hash that a third of all documents share costs one entry a block an
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,36 +36,71 @@ from .suffix_array import equal_prefixes, suffix_array
 
 GRAM = 24
 NEVER = np.iinfo(np.int64).max
-_SLICE = 1 << 20
+_SLICE = 1 << 16
+_PIECES = 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOW24 = np.uint64((1 << 24) - 1)
 _LOW40 = np.uint64((1 << 40) - 1)
 _SPREAD = np.uint64(0x9E3779B97F)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def minimizers(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of the bytes ``b`` with a common minimiser: (first start, last start, 40-bit hash); at most 16 MB."""
-    n = len(b) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up = np.cumprod(np.full(len(b), _P, np.uint64), dtype=np.uint64)
-    down = np.cumprod(np.full(len(b), _PINV, np.uint64), dtype=np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * down, dtype=np.uint64)])
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(n, _P, np.uint64), dtype=np.uint64), np.cumprod(np.full(n, _PINV, np.uint64), dtype=np.uint64)
+
+
+def least_grams(b: np.ndarray, length: int) -> np.ndarray:
+    """For each window of the bytes ``b`` the least of its strings: 40 bits of hash, then 24 of place; at most a slice of windows."""
+    up, down = _powers(_SLICE + length)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * down[: len(b)], dtype=np.uint64, out=total[1:])
     h = (total[GRAM:] - total[:-GRAM]) * up[: len(b) - GRAM + 1]
     h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h *= _MIX
     h ^= h >> np.uint64(32)
-    h = (h & ~_LOW24) | np.arange(len(h), dtype=np.uint64)  # ties go to the leftmost
+    h &= ~_LOW24
+    h |= np.arange(len(h), dtype=np.uint64)  # ties go to the leftmost
     width, have = length - GRAM + 1, 1
     while 2 * have <= width:
         h = np.minimum(h[:-have], h[have:])
         have *= 2
     if have < width:
         h = np.minimum(h[: len(h) - (width - have)], h[width - have :])
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    # least hashes lie near 0; an odd factor spreads them over the hash ranges, one to one
-    return new, np.append(new[1:], n) - 1, ((h[new] >> np.uint64(24)) * _SPREAD) & _LOW40
+    return h
+
+
+def _words(raw: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The strings of ``raw`` (followed by 8 further bytes) eight bytes at a time, zero beyond their ends."""
+    word = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    for at in range(0, int(sizes.max(initial=0)), 8):
+        yield word[np.minimum(start + at, len(word) - 1)] & _KEEP[np.clip(sizes - at, 0, 8)]
+
+
+def grouped(raw: np.ndarray, start: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which strings of one hash ``h`` that are equal are neighbours, hashes rising, and where each group begins
+    in it. Strings are sorted by a fingerprint; were two different ones to share theirs, by all their bytes instead."""
+    mix = sizes.astype(np.uint64) * _P
+    for w in _words(raw, start, sizes):
+        mix ^= w
+        mix *= _MIX
+        mix ^= mix >> np.uint64(32)
+    order = np.lexsort((mix, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (mix[order[1:]] != mix[order[:-1]])
+    differ = np.zeros(len(order), bool)
+    differ[1:] = sizes[order[1:]] != sizes[order[:-1]]
+    for w in _words(raw, start[order], sizes[order]):
+        differ[1:] |= w[1:] != w[:-1]
+    if (differ & ~new).any():
+        keys = [sizes, *_words(raw, start, sizes)]
+        order = np.lexsort((*keys, h))
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        for k in keys:
+            new[1:] |= k[order[1:]] != k[order[:-1]]
+    return order, np.flatnonzero(new)
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
@@ -86,58 +122,60 @@ def _ids(t: pa.Table, id_col: str) -> np.ndarray:
 
 
 class Block:
-    """A block file with its rows' bytes, and the windows that matter."""
+    """A block file with its rows' bytes one after another, and the windows that matter; places are of all bytes."""
 
     def __init__(self, path: str, fs, id_col: str, text_col: str, length: int, copies: set[int]):
         with fs.open_input_file(path) as f:
             self.table = pq.read_table(f)
-        self.ids, self.copies, self.length = _ids(self.table, id_col), copies, length
-        self.raw = [x or b"" for c in self.table.column(text_col).chunks for x in common.utf8(c)]
-        self.hashes = None
+        self.ids, self.length = _ids(self.table, id_col), length
+        raw = [x or b"" for c in self.table.column(text_col).chunks for x in common.utf8(c)]
+        self.sizes = np.array([len(x) for x in raw], np.int64)
+        self.base = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.sizes)])
+        self.whole = b"".join([*raw, bytes(8)])
+        self.copy = np.zeros(len(raw), bool)
+        self.copy[list(copies)] = True
 
     def occurrences(self) -> tuple[np.ndarray, ...]:
-        """(row, first start, last start, hash) of all rows that are no copies."""
-        rows, first, last, hashes = [], [], [], []
-        for i, raw in enumerate(self.raw):
-            if i in self.copies or len(raw) < self.length:
-                continue
-            b = np.frombuffer(raw, np.uint8)
-            for at in range(0, max(1, len(b) - self.length + 1), _SLICE):
-                x, y, h = minimizers(b[at : at + _SLICE + self.length - 1], self.length)
-                rows.append(np.full(len(x), i))
-                first.append(x + at)
-                last.append(y + at)
-                hashes.append(h)
-        return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, np.int64), (first, np.int64), (last, np.int64), (hashes, np.uint64)))
+        """Runs of windows with a common minimiser of all rows that are no copies: (row, first start, last start, 40-bit hash)."""
+        raw, n = np.frombuffer(self.whole, np.uint8), int(self.base[-1])
+        used = np.flatnonzero(~self.copy & (self.sizes >= self.length))
+        step = np.zeros(n + 1, np.int8)
+        step[self.base[used]] = 1
+        step[self.base[used + 1] - self.length + 1] -= 1
+        inside = np.cumsum(step, dtype=np.int8, out=step).view(bool)
+        first, last, hashes = [], [], []
+        for at in range(0, n - self.length + 1, _SLICE):
+            h = least_grams(raw[at : min(n, at + _SLICE + self.length - 1)], self.length)
+            own = inside[at : at + len(h)]
+            other = h[1:] != h[:-1]
+            new = own.copy()
+            new[1:] &= other | ~own[:-1]
+            end = own.copy()
+            end[:-1] &= other | ~own[1:]
+            new = np.flatnonzero(new)
+            first.append(new + at)
+            last.append(np.flatnonzero(end) + at)
+            # least hashes lie near 0; an odd factor spreads them over the hash ranges, one to one
+            hashes.append(((h[new] >> np.uint64(24)) * _SPREAD) & _LOW40)
+        first, last, hashes = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((first, np.int64), (last, np.int64), (hashes, np.uint64)))
+        return np.searchsorted(self.base, first, "right") - 1, first, last, hashes
 
     def entries(self, shared: np.ndarray, segments: int):
         """Occurrences of shared hashes, and the distinct (hash, context) among them: (row, first, last, entry of each
-        occurrence), (segment, hash, context, least id, whether of several documents) of each entry, in segment order."""
+        occurrence), (segment, hash, context's start, its size, least id, whether of several documents) of each entry, in
+        segment order."""
         row, first, last, h = self.occurrences()
         at = np.searchsorted(shared, h)
         own = shared[np.minimum(at, len(shared) - 1)] == h if len(shared) else np.zeros(len(h), bool)
         row, first, last, h = row[own], first[own], last[own], h[own]
-        order = np.argsort(h, kind="stable")
-        row, first, last, h = row[order], first[order], last[order], h[order]
-        seen: dict[tuple[int, bytes], int] = {}
+        sizes = last - first + self.length
+        order, begin = grouped(np.frombuffer(self.whole, np.uint8), first, sizes, h)
         entry = np.empty(len(h), np.int64)
-        least, several, contexts, hashes = [], [], [], []
-        ids, raw, more = self.ids, self.raw, self.length
-        for k, (r, a, z, x) in enumerate(zip(row.tolist(), first.tolist(), last.tolist(), h.tolist())):
-            key = (x, raw[r][a : z + more])
-            e = seen.get(key)
-            if e is None:
-                e = seen[key] = len(least)
-                least.append(int(ids[r]))
-                several.append(False)
-                contexts.append(key[1])
-                hashes.append(x)
-            elif ids[r] != least[e]:
-                several[e] = True
-                least[e] = min(least[e], int(ids[r]))
-            entry[k] = e
-        hashes = np.array(hashes, np.uint64)
-        return (row, first, last, entry), (segment_of(hashes, segments), hashes, contexts, np.array(least, np.int64), np.array(several, bool))
+        entry[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+        ids, one = self.ids[row[order]], order[begin]
+        least = np.minimum.reduceat(ids, begin) if len(h) else ids
+        several = (np.maximum.reduceat(ids, begin) if len(h) else ids) != least
+        return (row, first, last, entry), (segment_of(h[one], segments), h[one], first[one], sizes[one], least, several)
 
 
 def _write_blocks(root: str, id_col: str, text_col: str, block_bytes: int):
@@ -163,8 +201,7 @@ def _write_blocks(root: str, id_col: str, text_col: str, block_bytes: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                more = b.column(text_col).cast(pa.binary())
-                more = sum(len(x) for x in more.to_pylist() if x)
+                more = sum(len(x) for x in common.utf8(b.column(text_col)) if x)
                 if held and size + more > block_bytes:
                     yield done(held)
                     held, size = [], 0
@@ -213,11 +250,10 @@ def _send_hashes(segments: int):
 
     def work(path: str, block: Block, _):
         row, _, _, h = block.occurrences()
-        order = np.lexsort((block.ids[row], h))
-        h, ids = h[order], block.ids[row][order]
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        several = ids[first] != ids[np.append(first[1:], len(h)) - 1] if len(h) else np.zeros(0, bool)
+        order = np.argsort(h)
+        h, ids = h[order], block.ids[row[order]]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(h) else np.zeros(0, bool)
         h = h[first]
         cut = np.searchsorted(segment_of(h, segments), np.arange(segments + 1))
         rows = [(path, 1, int(s), _five(h[cut[s] : cut[s + 1]]).tobytes(), np.packbits(several[cut[s] : cut[s + 1]]).tobytes(), None, None) for s in np.flatnonzero(np.diff(cut))]
@@ -272,15 +308,17 @@ def _send_contexts(segments: int):
     """Kind 2: a block's entries of a segment: hashes (a), context lengths with a bit for several documents (b), contexts (c), least ids (d)."""
 
     def work(path: str, block: Block, rows):
-        _, (segment, hashes, contexts, least, several) = block.entries(_shared_of(rows), segments)
+        _, (segment, hashes, start, sizes, least, several) = block.entries(_shared_of(rows), segments)
         cut = np.searchsorted(segment, np.arange(segments + 1))
+        fives, lengths, least = _five(hashes), (sizes.astype("<u2") | (several.astype("<u2") << 15)).astype("<u2"), least.astype("<i8")
+        whole, start, end = block.whole, start.tolist(), (start + sizes).tolist()
         out, size = [], 0
-        for s in np.flatnonzero(np.diff(cut)):
+        for s in np.flatnonzero(np.diff(cut)).tolist():
             own = slice(cut[s], cut[s + 1])
-            lengths = np.array([len(x) for x in contexts[own]], "<u2") | (several[own].astype("<u2") << 15)
-            out.append((path, 2, int(s), _five(hashes[own]).tobytes(), lengths.astype("<u2").tobytes(), b"".join(contexts[own]), least[own].astype("<i8").tobytes()))
-            size += len(out[-1][5])
-            if size > 4 << 20:
+            contexts = b"".join([whole[a:z] for a, z in zip(start[own], end[own])])
+            out.append((path, 2, s, fives[own].tobytes(), lengths[own].tobytes(), contexts, least[own].tobytes()))
+            size += len(contexts)
+            if size > _PIECES:
                 yield _batch(out)
                 out, size = [], 0
         if out:
@@ -289,134 +327,125 @@ def _send_contexts(segments: int):
     return work
 
 
-def least_ids(contexts: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """For every window of each context the least id of the contexts that hold it anywhere, by a suffix array of them all."""
-    sizes = np.array([len(c) for c in contexts])
-    raw = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
-    start = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    s = raw.astype(np.int64) + 1
-    s[start + sizes] = 257 + np.arange(len(contexts))  # an end of its own for each
+def least_ids(raw: np.ndarray, start: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of each context for which the least id of the contexts that hold them anywhere is one, by a suffix
+    array of them all: (context, first window, last window, least id), in order."""
+    ends = np.cumsum(sizes + 1)
+    begin = ends - sizes - 1
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    offset = np.arange(ends[-1]) - begin[owner]
+    own = raw[np.minimum(start[owner] + offset, len(raw) - 1)]
+    s = own.astype(np.int64) + 1
+    s[ends - 1] = 257 + np.arange(len(sizes))  # an end of its own for each
     sa = suffix_array(s)
-    owner = np.repeat(np.arange(len(contexts)), sizes + 1)
-    offset = np.arange(len(raw)) - np.repeat(start, sizes + 1)
-    sa = sa[offset[sa] + length <= np.repeat(sizes, sizes + 1)[sa]]
-    new = np.flatnonzero(np.concatenate([[True], ~equal_prefixes(raw, sa, length)]))
-    least = np.minimum.reduceat(ids[owner[sa]], new)
-    by_start = np.full(len(raw), NEVER)
-    by_start[sa] = np.repeat(least, np.diff(np.append(new, len(sa))))
-    return [by_start[a : a + n - length + 1] for a, n in zip(start, sizes)]
+    window = offset + length <= sizes[owner]
+    sa = sa[window[sa]]
+    new = np.flatnonzero(np.concatenate([[True], ~equal_prefixes(own, sa, length)]))
+    by_start = np.empty(len(own), np.int64)
+    by_start[sa] = np.repeat(np.minimum.reduceat(ids[owner[sa]], new), np.diff(np.append(new, len(sa))))
+    at = np.flatnonzero(window)
+    owner, offset, value = owner[at], offset[at], by_start[at]
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])]))
+    return owner[new], offset[new], offset[np.append(new[1:], len(at)) - 1], value[new]
 
 
 def _solve_contexts(length: int, most: int = 1 << 20):
     """Kind 2 back to each block: runs of an entry's windows with one least id: entry (a), first and last window (b), id (c)."""
 
     def solve(rows: list[tuple]):
-        index: dict[tuple[int, bytes], int] = {}
-        least: list[int] = []
-        sent = []
-        for r in rows:
-            h, lengths, docs = _unfive(r[3]).tolist(), np.frombuffer(r[4], "<u2"), np.frombuffer(r[6], "<i8")
-            several, lengths = lengths >> 15, (lengths & 0x7FFF).astype(np.int64)
-            ends = np.cumsum(lengths)
-            own = np.empty(len(h), np.int64)
-            for k, (x, a, z, d) in enumerate(zip(h, (ends - lengths).tolist(), ends.tolist(), docs.tolist())):
-                key = (x, r[5][a:z])
-                e = index.setdefault(key, len(least))
-                if e == len(least):
-                    least.append(d)
-                elif d < least[e]:
-                    least[e] = d
-                own[k] = e
-            sent.append((own, docs, several))
-        keys = list(index)
-        ids = np.array(least, np.int64)
-        order = sorted(range(len(keys)), key=lambda i: keys[i][0])
-        result: list = [None] * len(keys)
-        batch, size = [], 0
-
-        def flush():
-            for i, m in zip(batch, least_ids([keys[i][1] for i in batch], ids[batch], length) if batch else []):
-                result[i] = m
-
-        at = 0
-        while at < len(order):
-            end = at + 1
-            while end < len(order) and keys[order[end]][0] == keys[order[at]][0]:
-                end += 1
-            if end - at > 1:  # contexts of one hash that differ
-                batch += order[at:end]
-                size += sum(len(keys[i][1]) + 1 for i in order[at:end])
-                if size > most:
-                    flush()
-                    batch, size = [], 0
-            at = end
-        flush()
-        for r, (own, docs, several) in zip(rows, sent):
-            entry, first, last, value = [], [], [], []
-            for k, e in enumerate(own.tolist()):
-                m = result[e]
-                if m is None:
-                    if ids[e] < docs[k] or several[k]:
-                        entry.append(k), first.append(0), last.append(len(keys[e][1]) - length), value.append(ids[e])
-                    continue
-                cut = [0, *(np.flatnonzero(m[1:] != m[:-1]) + 1).tolist(), len(m)]
-                for a, z in zip(cut, cut[1:]):
-                    if m[a] < docs[k] or several[k]:
-                        entry.append(k), first.append(a), last.append(z - 1), value.append(m[a])
-            if entry:
-                yield _batch([(r[0], 2, r[2], np.array(entry, "<i4").tobytes(), np.array([first, last], "<u2").T.tobytes(), np.array(value, "<i8").tobytes(), None)])
+        h, lengths = _unfive(b"".join([r[3] for r in rows])), np.frombuffer(b"".join([r[4] for r in rows]), "<u2")
+        docs = np.frombuffer(b"".join([r[6] for r in rows]), "<i8")
+        raw = np.frombuffer(b"".join([*(r[5] for r in rows), bytes(8)]), np.uint8)
+        several, sizes = lengths >> 15 > 0, (lengths & 0x7FFF).astype(np.int64)
+        start = np.cumsum(sizes) - sizes
+        order, begin = grouped(raw, start, sizes, h)
+        group = np.empty(len(h), np.int64)
+        group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+        ids, one = np.minimum.reduceat(docs[order], begin), order[begin]
+        start, sizes, h = start[one], sizes[one], h[one]
+        new = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
+        alone = np.repeat(np.diff(new) == 1, np.diff(new))
+        runs = [(np.flatnonzero(alone), np.zeros(alone.sum(), np.int64), (sizes - length)[alone], ids[alone])]
+        differ = np.flatnonzero(~alone)  # contexts of one hash that differ
+        if len(differ):
+            volume, edge = np.cumsum(sizes[differ] + 1), np.append(np.flatnonzero(np.concatenate([[True], h[differ[1:]] != h[differ[:-1]]])), len(differ))
+            at = 0
+            while at < len(edge) - 1:
+                done = volume[edge[at] - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(volume[edge[1:] - 1], done + most, "right")))
+                own = differ[edge[at] : edge[to]]
+                context, *rest = least_ids(raw, start[own], sizes[own], ids[own], length)
+                runs.append((own[context], *rest))
+                at = to
+        of, first, last, value = (np.concatenate(x) for x in zip(*runs))
+        order = np.argsort(of, kind="stable")
+        first, last, value = first[order], last[order], value[order]
+        cut = np.searchsorted(of[order], np.arange(len(h) + 1))
+        times = cut[group + 1] - cut[group]
+        entry = np.repeat(np.arange(len(group)), times)
+        run = np.repeat(cut[group], times) + np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
+        keep = (value[run] < docs[entry]) | several[entry]
+        entry, run = entry[keep], run[keep]
+        ends = np.cumsum([len(r[6]) // 8 for r in rows])
+        begins = np.append(0, ends[:-1])
+        cut = np.searchsorted(entry, np.append(begins, ends[-1]))
+        entry = (entry - np.repeat(begins, np.diff(cut))).astype("<i4")
+        span, value = np.stack([first[run], last[run]], 1).astype("<u2"), value[run].astype("<i8")
+        out, size = [], 0
+        for r, a, z in zip(rows, cut[:-1].tolist(), cut[1:].tolist()):
+            if z > a:
+                out.append((r[0], 2, r[2], entry[a:z].tobytes(), span[a:z].tobytes(), value[a:z].tobytes(), None))
+                size += z - a
+            if size > _PIECES >> 4:
+                yield _batch(out)
+                out, size = [], 0
+        if out:
+            yield _batch(out)
 
     return solve
 
 
 def _apply(segments: int, length: int, columns: list[str], id_col: str, text_col: str, mode: str):
     def work(path: str, block: Block, rows):
-        n = len(block.raw)
         back = sorted((r for r in rows if r[0] == 2), key=lambda r: r[1])
-        marks: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
+        whole, base = np.frombuffer(block.whole, np.uint8)[:-8], block.base
+        step = np.zeros(len(whole) + 1, np.int32)
+        own = np.flatnonzero(block.copy & (block.sizes >= length))
+        np.add.at(step, base[own], 1)
+        np.add.at(step, base[own + 1], -1)
         if back:
             (row, first, _, entry), (segment, *_) = block.entries(_shared_of(rows), segments)
             order = np.argsort(entry, kind="stable")
             cut = np.searchsorted(entry[order], np.arange(len(segment) + 1))
-            base = np.searchsorted(segment, np.arange(segments))
-            e = np.concatenate([np.frombuffer(r[2], "<i4").astype(np.int64) + base[r[1]] for r in back])
-            span = np.concatenate([np.frombuffer(r[3], "<u2").reshape(-1, 2).astype(np.int64) for r in back])
-            value = np.concatenate([np.frombuffer(r[4], "<i8") for r in back])
+            start = np.searchsorted(segment, np.arange(segments))
+            e = np.frombuffer(b"".join([r[2] for r in back]), "<i4") + np.repeat(start[[r[1] for r in back]], [len(r[2]) // 4 for r in back])
+            span = np.frombuffer(b"".join([r[3] for r in back]), "<u2").reshape(-1, 2).astype(np.int64)
+            value = np.frombuffer(b"".join([r[4] for r in back]), "<i8")
             times = cut[e + 1] - cut[e]
             occ = order[np.repeat(cut[e], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
             a, z, value = np.repeat(span[:, 0], times), np.repeat(span[:, 1], times), np.repeat(value, times)
             hit = value < block.ids[row[occ]]
             occ, a, z = occ[hit], a[hit], z[hit]
-            order = np.argsort(row[occ], kind="stable")
-            own, a, z = row[occ][order], (first[occ] + a)[order], (first[occ] + z)[order]
-            where = np.searchsorted(own, np.arange(n + 1))
-            for i in np.unique(own):
-                s = slice(where[i], where[i + 1])
-                marks[i].append((a[s], z[s]))
-        removed, spans, shas, kept = [], [], [], []
-        for i, raw in enumerate(block.raw):
-            if i in block.copies and len(raw) >= length:
-                gone = np.ones(len(raw), bool)
-            elif marks[i]:
-                step = np.zeros(len(raw) + 1, np.int32)
-                for a, z in marks[i]:
-                    np.add.at(step, a, 1)
-                    np.add.at(step, z + length, -1)
-                gone = np.cumsum(step[:-1]) > 0
-            else:
-                gone = None
-            if gone is None:
-                rest, k, m = raw, 0, 0
-            else:
-                rest, k, m = np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
-            removed.append(k)
-            spans.append(m)
+            np.add.at(step, first[occ] + a, 1)
+            np.add.at(step, first[occ] + z + length, -1)
+        gone = np.cumsum(step, dtype=np.int32, out=step)[:-1] > 0
+        stays = whole[~gone].tobytes()
+        new = gone.copy()
+        new[1:] &= ~gone[:-1]
+        edge = base[:-1][block.sizes > 0]
+        new[edge] = gone[edge]
+        del step
+        removed, spans = (np.diff(np.concatenate([np.zeros(1, np.int32), np.cumsum(x, dtype=np.int32)])[base]).astype(np.int64) for x in (gone, new))
+        left = np.concatenate([[0], np.cumsum(block.sizes - removed)]).tolist()
+        shas, kept = [], []
+        for a, z in zip(left, left[1:]):
+            rest = stays[a:z]
             if mode == "report":
                 shas.append(hashlib.sha256(rest).hexdigest())
             else:
                 kept.append(rest if mode == "bytes" else rest.decode("utf-8", "ignore"))
         t = block.table
-        new = [pa.array([len(x) for x in block.raw], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
+        new = [pa.array(block.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
         names = ["n_bytes", "n_removed", "n_spans"]
         if mode == "report":
             cols, own_names = [t.column(id_col).combine_chunks(), *new, pa.array(shas)], ["doc_id", *names, "kept_sha256"]

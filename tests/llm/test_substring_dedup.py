@@ -1,8 +1,14 @@
+import cProfile
 import hashlib
+import pstats
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 import pytest
 
+from mnemoflow.llm import substring_dedup
 from mnemoflow.llm.queries import QUERIES
 from mnemoflow.llm.substring_dedup import remove_repeats
 from mnemoflow.llm.suffix_array import suffix_array
@@ -63,3 +69,36 @@ def test_edges_and_mixed_passages(spark, block):
     kept = remove_repeats(plain, mode="bytes", block_bytes=block).collect()
     assert sorted(((r.doc_id, len(bytes(r.text))) for r in kept), key=repr) == sorted(((r[0], r[1] - r[2]) for r in brute(rows)), key=repr)
     assert remove_repeats(plain.limit(0)).collect() == []
+
+
+def test_no_python_call_for_each_passage(tmp_path):
+    """A block's and a segment's passages are handled in arrays, and a segment's pieces go back in few batches."""
+    rng = np.random.default_rng(5)
+    lines = ["".join(rng.choice(list("abcdefgh "), 120)) for _ in range(1500)]
+    texts = [" ".join(rng.choice(lines, 10)) for _ in range(600)]
+    work, solve = substring_dedup._send_contexts(1), substring_dedup._solve_contexts(50)
+    given, sent, n, profile = [], [], 0, cProfile.Profile()
+    for k in range(10):
+        path = str(tmp_path / f"{k}.parquet")
+        pq.write_table(pa.table({"doc_id": range(k * 60, k * 60 + 60), "text": texts[k * 60 : k * 60 + 60]}), path)
+        block = substring_dedup.Block(path, pa.fs.LocalFileSystem(), "doc_id", "text", 50, set())
+        hashes = np.unique(block.occurrences()[-1])
+        n += len(hashes)
+        given.append((path, block, [(1, 0, substring_dedup._five(hashes).tobytes(), None, None, None)]))
+    for g in given:
+        made = profile.runcall(lambda g=g: list(work(*g)))
+        sent += [tuple(r.values()) for b in made for r in b.to_pylist()]
+    batches = profile.runcall(lambda: list(solve(sent)))
+    assert len(sent) == 10 and n > 30_000
+    assert sum(b.num_rows for b in batches) == 10 and len(batches) == 1
+    assert pstats.Stats(profile).total_calls < n
+
+
+def test_strings_that_share_a_fingerprint_are_told_apart(spark, monkeypatch):
+    raw = np.frombuffer(b"abcdefghijabcdefghiXabcdefghijabc" + bytes(8), np.uint8)
+    start, sizes, h = np.array([0, 10, 20, 30, 0]), np.array([10, 10, 10, 3, 3]), np.array([7, 7, 7, 7, 3], np.uint64)
+    for mix in (substring_dedup._MIX, np.uint64(0)):
+        monkeypatch.setattr(substring_dedup, "_MIX", mix)
+        order, begin = substring_dedup.grouped(raw, start, sizes, h)
+        groups = sorted(sorted(g.tolist()) for g in np.split(order, begin[1:]))
+        assert groups == [[0, 2], [1], [3], [4]] and order[0] == 4
