@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+NOISE = 1e-14  # of products that cancel, rounding leaves this much at most; what is less is a zero
+
+
 def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
 def similarities(vectors: DataFrame, queries: DataFrame, key: str = "idx", block: int = 2048) -> DataFrame:
-    """(query_id, key, sim) of every query with every row of ``vectors`` (key, vec), inner products in double, zeros left out.
+    """(query_id, key, sim) of every query with every row of ``vectors`` (key, vec), inner products in double; zeros, and what rounding leaves of
+    them, are left out.
 
     The queries are broadcast in blocks of ``block`` and multiplied with Arrow batches of vectors; rows are never shuffled.
     """
@@ -36,7 +40,7 @@ def similarities(vectors: DataFrame, queries: DataFrame, key: str = "idx", block
                     if not len(ids) or not piece.num_rows:
                         continue
                     s = _matrix(piece.column(1)) @ q.T
-                    row, col = np.nonzero(s)
+                    row, col = np.nonzero(np.abs(s) > NOISE)
                     yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in col], id_type), piece.column(0).take(pa.array(row)), pa.array(s[row, col])], names=["query_id", key, "sim"])
 
         out.append(vectors.select(key, "vec").mapInArrow(run, f"query_id {q_kind}, {key} {kind}, sim double"))

@@ -64,8 +64,8 @@ def seeds(profiles: DataFrame, entities: DataFrame, query_vecs: DataFrame | None
 
     open_ = profiles.filter(F.size("subjects") > 0).join(exact.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
     sims = similarities(entity_vecs, query_vecs.join(open_, "query_id", "left_semi"), key="entity_id").filter(F.col("sim") > cfg.align_threshold)
-    best = sims.groupBy("query_id").agg(F.max(F.struct("sim", (-F.col("entity_id")).alias("n"))).alias("b"))
-    return exact.unionByName(best.select("query_id", (-F.col("b.n")).alias("entity_id"), F.col("b.sim").alias("a")))
+    best = sims.groupBy("query_id").agg(F.max(F.struct(F.round("sim", 9).alias("s"), (-F.col("entity_id")).alias("n"))).alias("b"), F.max("sim").alias("a"))
+    return exact.unionByName(best.select("query_id", (-F.col("b.n")).alias("entity_id"), "a"))
 
 
 def propagate(start: DataFrame, edge: DataFrame, sims: DataFrame, steps: int) -> DataFrame:

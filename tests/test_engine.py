@@ -261,3 +261,19 @@ def test_superseded_against_all_pairs(spark):
     rows = [(int(rng.integers(3)), i, int(rng.integers(20)), [str(x) for x in rng.integers(0, 4, rng.integers(1, 4))]) for i in range(120)]
     got = {(r.query_id, r.idx) for r in calibration.superseded(spark.createDataFrame(rows, "query_id int, idx int, ts int, vals array<string>")).collect()}
     assert got == {(q, i) for q, i, t, v in rows if any(q == q2 and t2 > t and not set(v) & set(v2) for q2, _, t2, v2 in rows)}
+
+
+def test_products_that_cancel_are_no_similarity(spark):
+    from mnemoflow.operators.dense import similarities
+
+    v = spark.createDataFrame([(0, [0.1, 0.2, -0.3]), (1, [0.1, 0.2, 0.0])], "idx long, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 1.0, 1.0])], "query_id int, vec array<double>")
+    assert [r.idx for r in similarities(v, q).collect()] == [1]
+
+
+def test_a_seed_among_equals_is_the_first_entity(spark):
+    p = spark.createDataFrame([(1, ["x"], ["x"])], "query_id int, subjects array<string>, phrases array<string>")
+    e = spark.createDataFrame([(5, "a"), (9, "b")], "entity_id long, canon string")
+    ev = spark.createDataFrame([(5, [0.8, 0.6]), (9, [0.8 + 1e-13, 0.6])], "entity_id long, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vec array<double>")
+    assert [r.entity_id for r in graph.seeds(p, e, q, ev).collect()] == [5]
