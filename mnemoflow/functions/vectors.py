@@ -48,7 +48,7 @@ def fnv1a_py(raw: bytes) -> int:
     return h
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=1 << 15)
 def _cells(token: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and signed weights of a token and its character trigrams."""
     weight = 0.2 if token in _STOP else 1.0
@@ -71,18 +71,20 @@ def hash_vector(tokens, dim: int) -> np.ndarray:
 
 
 class HashEmbedder:
-    """Signed feature hashing of tokens and character trigrams; Arrow batches, tokens cached a worker."""
+    """Signed feature hashing of tokens and character trigrams. Tokens come as one string a text and vectors leave in
+    pieces of ``piece`` rows, so a worker holds no batch of boxed numbers; the cache of tokens is bounded."""
 
-    def __init__(self, dim: int = 256):
-        self.dim = dim
+    def __init__(self, dim: int = 256, piece: int = 256):
+        self.dim, self.piece = dim, piece
         self.id = f"hash-v1-{dim}"
 
     def embed(self, text: Column) -> Column:
-        dim = self.dim
+        dim, piece = self.dim, self.piece
 
         @F.pandas_udf("array<double>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for b in batches:
-                yield pd.Series([hash_vector(t if t is not None else (), dim).tolist() for t in b])
+                for at in range(0, len(b), piece):
+                    yield pd.Series([hash_vector(t.split(" ") if t else (), dim) for t in b.iloc[at : at + piece]])
 
-        return run(T.tokens(text))
+        return run(F.array_join(T.tokens(text), " "))

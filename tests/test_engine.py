@@ -277,3 +277,12 @@ def test_a_seed_among_equals_is_the_first_entity(spark):
     ev = spark.createDataFrame([(5, [0.8, 0.6]), (9, [0.8 + 1e-13, 0.6])], "entity_id long, vec array<double>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vec array<double>")
     assert [r.entity_id for r in graph.seeds(p, e, q, ev).collect()] == [5]
+
+
+def test_embedding_in_pieces(spark):
+    from mnemoflow.functions.vectors import HashEmbedder, _cells
+
+    texts = [(i, f"It's turn {i} of Ann's, ünï" if i % 7 else None) for i in range(300)]
+    rows = spark.createDataFrame(texts, "i int, t string").coalesce(1).select("i", T.tokens(F.col("t")).alias("k"), HashEmbedder(64, 128).embed(F.col("t")).alias("v")).collect()
+    assert len(rows) == 300 and all(np.allclose(r.v, hash_vector(r.k or (), 64)) for r in rows)
+    assert _cells.cache_info().maxsize <= 1 << 15
