@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,18 +98,58 @@ def reset_vector(act: DataFrame, sims: DataFrame) -> DataFrame:
     return rows.join(total, "query_id").select("query_id", "node", (mass * F.col("v") / F.when(F.col("side") == "e", F.col("te")).otherwise(F.col("tt"))).alias("r"))
 
 
-def pagerank(reset: DataFrame, trans: DataFrame, cfg: Config = DEFAULT, cut_every: int = 5) -> DataFrame:
-    """(query_id, node, mass) after a fixed number of steps, all queries at once; the lineage is cut in the shared folder
-    every few steps. ``trans`` is read in every step and should be a written table."""
+def _links(turns: DataFrame, edge: DataFrame) -> DataFrame:
+    """(src, dst, p) of :func:`transitions` with numbers for nodes: a turn is -(2 idx + 1), an entity its id. Entities that one
+    turn alone mentions get and give all they have from and to that turn, so those of a turn are one node, -(2 idx + 2)."""
+    turn = lambda c: -(F.col(c) * 2 + 1)
+    kept = edge.select("idx", F.when(F.col("w_entity") == 1.0, -(F.col("idx") * 2 + 2)).otherwise(F.col("entity_id")).alias("e"), "w_turn", "w_entity")
+    kept = kept.groupBy("idx", "e").agg(F.sum("w_turn").alias("w_turn"), F.max("w_entity").alias("w_entity"))
+    near = adjacency(turns)
+    counts = turns.select("idx").join(edge.groupBy("idx").agg(F.count(F.lit(1)).alias("n_e")), "idx", "left").join(near.groupBy("idx").agg(F.count(F.lit(1)).alias("n_a")), "idx", "left").fillna(0)
+    share = F.when(F.col("n_e") > 0, 0.2).otherwise(1.0) / F.col("n_a")
+    return (
+        kept.select(F.col("e").alias("src"), turn("idx").alias("dst"), F.col("w_entity").alias("p"))
+        .unionByName(kept.select(turn("idx").alias("src"), F.col("e").alias("dst"), (F.col("w_turn") * 0.8).alias("p")))
+        .unionByName(near.join(counts, "idx").select(turn("idx").alias("src"), turn("other").alias("dst"), share.alias("p")))
+        .unionByName(counts.filter("n_e = 0 and n_a = 0").select(turn("idx").alias("src"), turn("idx").alias("dst"), F.lit(1.0).alias("p")))
+    )
+
+
+def pagerank(reset: DataFrame, turns: DataFrame, edge: DataFrame, cfg: Config = DEFAULT, cut_every: int = 10, width: int = 64) -> DataFrame:
+    """(query_id, node, mass) of the turns after a fixed number of steps.
+
+    A node's masses for up to ``width`` queries are one row. Links and resets lie by node on the executors' disks, so a step
+    shuffles only what moves, one row a node and map task; the lineage is cut in the shared folder every few steps.
+    """
     reset = written(reset, "reset")
-    back = reset.select("query_id", "node", (F.col("r") * (1 - cfg.follow)).alias("m"))
-    pi = reset.select("query_id", "node", F.col("r").alias("m"))
-    for k in range(cfg.pagerank_steps):
-        moved = pi.join(trans, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), (F.col("m") * F.col("p") * cfg.follow).alias("m"))
-        pi = back.unionByName(moved).groupBy("query_id", "node").agg(F.sum("m").alias("m"))
-        if k % cut_every == cut_every - 1:
-            pi = written(pi, "pagerank")
-    return pi.select("query_id", "node", F.col("m").alias("mass"))
+    spark = reset.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = written(_links(turns, edge), "links").repartition(n, "src").sortWithinPartitions("src").persist(StorageLevel.DISK_ONLY)
+    number = F.expr("cast(substring(node, 2) as bigint)")
+    only = edge.filter("w_entity = 1").select(F.concat(F.lit("e"), "entity_id").alias("node"), (-(F.col("idx") * 2 + 2)).alias("only"))
+    start = reset.join(only, "node", "left").select("query_id", F.when(F.col("node").startswith("t"), -(number * 2 + 1)).otherwise(F.coalesce("only", number)).alias("node"), "r")
+    ids = sorted(r.query_id for r in reset.select("query_id").distinct().collect())
+    out = []
+    for at in range(0, max(1, len(ids)), width):
+        part = ids[at : at + width]
+        sums = [F.sum(F.when(F.col("query_id") == q, F.col("r"))).alias(f"r{i}") for i, q in enumerate(part)] or [F.sum("r").alias("r0")]
+        names = range(len(sums))
+        base = links.select(F.col("src").alias("node")).distinct().join(start.groupBy("node").agg(*sums), "node", "left").fillna(0.0)
+        base = base.repartition(n, "node").sortWithinPartitions("node").persist(StorageLevel.DISK_ONLY)
+        pi = base.select("node", *[F.col(f"r{i}").alias(f"m{i}") for i in names])
+        for k in range(cfg.pagerank_steps):
+            moved = links.join(pi, F.col("src") == F.col("node")).groupBy("dst").agg(*[F.sum(F.col(f"m{i}") * F.col("p") * cfg.follow).alias(f"g{i}") for i in names])
+            pi = base.join(moved, F.col("node") == F.col("dst"), "left").select("node", *[(F.col(f"r{i}") * (1 - cfg.follow) + F.coalesce(f"g{i}", F.lit(0.0))).alias(f"m{i}") for i in names])
+            if k % cut_every == cut_every - 1 and k < cfg.pagerank_steps - 1:
+                pi = written(pi, "pagerank")
+        rows = pi.filter("node < 0 and node % 2 <> 0").select(F.concat(F.lit("t"), F.expr("cast((-node - 1) div 2 as string)")).alias("node"), *[f"m{i}" for i in names])
+        cells = F.explode(F.array(*[F.struct(F.lit(q).alias("query_id"), F.col(f"m{i}").alias("mass")) for i, q in enumerate(part)])) if part else None
+        if cells is not None:
+            rows = rows.select("node", cells.alias("c")).select(F.col("c.query_id").cast(reset.schema["query_id"].dataType).alias("query_id"), "node", "c.mass").filter("mass > 0")
+            out.append(written(rows, "pagerank"))
+        base.unpersist()
+    links.unpersist()
+    return reduce(DataFrame.unionByName, out) if out else reset.select("query_id", "node", F.col("r").alias("mass"))
 
 
 def graph_scores(ranks: DataFrame, turns: DataFrame, profiles: DataFrame) -> DataFrame:

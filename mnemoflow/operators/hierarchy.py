@@ -27,9 +27,10 @@ def windows(members: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     out = members.groupBy("window_start").agg(F.min("segment").alias("segment"), F.min("session_id").alias("session_id"), F.max("idx").alias("end_idx"), F.count(F.lit(1)).alias("n"))
     if vectors is None:
         return out
-    cells = members.select("idx", "window_start").join(vectors, "idx").select("window_start", F.posexplode("vec").alias("pos", "x"))
-    means = cells.groupBy("window_start", "pos").agg(F.avg("x").alias("x"))
-    centroid = means.groupBy("window_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
+    # one row a window: its vectors in order are added up in place, not cell by cell over the cluster
+    rows = members.select("idx", "window_start").join(vectors, "idx").groupBy("window_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "vec"))), lambda s: s["vec"]).alias("vs"))
+    sums = F.aggregate("vs", F.array().cast("array<double>"), lambda a, v: F.zip_with(a, v, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+    centroid = rows.select("window_start", F.transform(sums, lambda x, i: x / F.size(F.filter("vs", lambda v: F.size(v) > i))).alias("centroid"))
     return out.join(centroid, "window_start")
 
 

@@ -42,7 +42,7 @@ class Index:
 
     @cached_property
     def entity_vectors(self) -> DataFrame:
-        return written(self.entities.select("entity_id", self.embedder.embed(F.col("canon")).alias("vec")), "entity-vectors")
+        return self.entities.select("entity_id", self.embedder.embed(F.col("canon")).alias("vec"))  # read once, so not stored
 
     @cached_property
     def members(self) -> DataFrame:
@@ -124,7 +124,7 @@ class Recall:
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return graph.pagerank(graph.reset_vector(self.activations, self.sims), self.index.transitions, self.index.cfg)
+        return graph.pagerank(graph.reset_vector(self.activations, self.sims), self.index.turns, self.index.edges, self.index.cfg)
 
     @cached_property
     def graph_scores(self) -> DataFrame:

@@ -279,6 +279,31 @@ def test_a_seed_among_equals_is_the_first_entity(spark):
     assert [r.entity_id for r in graph.seeds(p, e, q, ev).collect()] == [5]
 
 
+def test_pagerank_against_a_dense_matrix(spark):
+    texts = ["Maria met Bob Stone", "then Maria saw Eve", "nothing here", "she likes Zoe and Bob Stone", "alone"]
+    turns = spark.createDataFrame([(i, "ab"[i == 4], t) for i, t in enumerate(texts)], "idx long, session_id string, text string")
+    edge = spark.createDataFrame([(0, 1, 0.5, 0.5), (0, 2, 0.5, 0.5), (1, 1, 0.25, 0.5), (1, 3, 0.25, 1.0), (1, 4, 0.5, 1.0), (3, 2, 1.0, 0.5)], "idx long, entity_id long, w_turn double, w_entity double")
+    reset = spark.createDataFrame([(1, "e4", 0.5), (1, "t2", 0.5), (2, "e1", 0.25), (2, "e3", 0.25), (2, "t0", 0.5), (3, "t4", 1.0)], "query_id int, node string, r double")
+    trans = [(r.src, r.dst, r.p) for r in graph.transitions(turns, edge).collect()]
+    nodes = sorted({x for s, d, _ in trans for x in (s, d)})
+    m = np.zeros((len(nodes), len(nodes)))
+    for s, d, p in trans:
+        m[nodes.index(d), nodes.index(s)] += p
+    want = {}
+    for q in (1, 2, 3):
+        r = np.zeros(len(nodes))
+        for x in reset.collect():
+            r[nodes.index(x.node)] += x.r * (x.query_id == q)
+        pi = r
+        for _ in range(12):
+            pi = 0.6 * m @ pi + 0.4 * r
+        want |= {(q, x): v for x, v in zip(nodes, pi) if x[0] == "t" and v > 0}
+    for width in (2, 64):
+        got = {(r.query_id, r.node): r.mass for r in graph.pagerank(reset, turns, edge, Config(pagerank_steps=12), 5, width).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert graph._links(turns, edge).filter("src = -4").count() == 1  # Eve and Zoe of the second turn are one node
+
+
 def test_embedding_in_pieces(spark):
     from mnemoflow.functions.vectors import HashEmbedder, _cells
 
@@ -286,3 +311,10 @@ def test_embedding_in_pieces(spark):
     rows = spark.createDataFrame(texts, "i int, t string").coalesce(1).select("i", T.tokens(F.col("t")).alias("k"), HashEmbedder(64, 128).embed(F.col("t")).alias("v")).collect()
     assert len(rows) == 300 and all(np.allclose(r.v, hash_vector(r.k or (), 64)) for r in rows)
     assert _cells.cache_info().maxsize <= 1 << 15
+
+
+def test_window_means_take_no_row_a_cell(spark):
+    df = spark.createDataFrame([(i, "s", 0, [float(i), 2.0]) for i in range(6)], "idx long, session_id string, ts long, vec array<double>")
+    w = hierarchy.windows(hierarchy.segments(df.drop("vec")), df.select("idx", "vec"))
+    assert [(r.window_start, r.n, list(r.centroid)) for r in w.orderBy("window_start").collect()] == [(0, 4, [1.5, 2.0]), (4, 2, [4.5, 2.0])]
+    assert "Generate" not in w._jdf.queryExecution().optimizedPlan().toString()
